@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 #: Rows of an Arrow batch: texts may be long, and a Python worker holds one batch at a time.
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, "16m"
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -75,6 +75,7 @@ def _clear() -> None:
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
@@ -89,7 +90,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterabl
     def run(batches):
         for out in fn(b.to_pydict() for b in batches):
             if len(next(iter(out.values()))):
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in kind}, schema=kind)
+                yield pa.RecordBatch.from_pydict({f.name: x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in kind}, schema=kind)
 
     return df.mapInArrow(run, schema)
 

@@ -114,7 +114,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids: what the documents' ids are cut into."""
+    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (little-endian, 32 bits each)."""
     path = path or tokenizer_path(VOCABULARY)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -129,12 +129,12 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece
                 while at < n:
                     size = window if n - at >= window else min(piece, n - at)
                     part = ids[4 * at : 4 * (at + size)]
-                    for key, v in zip(out, (doc, at, size, zlib.crc32(part), n, np.frombuffer(part, "<u4").tolist() if with_ids else None)):
+                    for key, v in zip(out, (doc, at, size, zlib.crc32(part), n, part)):
                         out[key].append(v)
                     at += size
             yield out
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def pack(cut: DataFrame, n_groups: int, window: int = WINDOW) -> DataFrame:
