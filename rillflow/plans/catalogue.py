@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import design, scalar
+from ..functions.scalar import LOWER, UPPER
+from ..operators import arrays, feedback, grid, logs, mapreduce, sorting, streams
+from ..sources import grid as grid_of
+from ..sources import signal, vectors
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Taps of the registered filter queries, and decimals that results are rounded to.
+TAPS, BANK_TAPS, DIGITS = 128, 32, 6
 
 
 def query(name: str, sql: str | None = None):
@@ -23,8 +30,441 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("wordcount", f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(text, '{LOWER}', '{UPPER}'), '[A-Z][A-Z'']*')) AS word FROM documents) GROUP BY 1")
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(c, digits: int = DIGITS):
+    """Rounded, with no negative zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def num(v: float) -> str:
+    return f"{v:.17e}"
+
+
+def dot_sql(taps: list[float], x: str, window: str) -> str:
+    """The same sum of products, in the same order."""
+    terms = " + ".join(f"{num(c)} * {f'lead({x}, {i}) OVER {window}' if i else x}" for i, c in enumerate(taps))
+    return f"0.0::DOUBLE + {terms}"
+
+
+def fir_sql(source: str, taps: list[float], step: int = 1, x: str = "x") -> str:
+    """(seq, x) of a filter over (seq, x) rows."""
+    inner = f"SELECT seq, {dot_sql(taps, x, 'w')} AS y FROM {source} WINDOW w AS (ORDER BY seq)"
+    return f"SELECT (seq // {step})::BIGINT AS seq, y AS x FROM ({inner}) WHERE y IS NOT NULL AND seq % {step} = 0"
+
+
+SIGNAL_SQL = "SELECT event_id AS seq, value AS x FROM events"
+WORDS_SQL = f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(text, '{LOWER}', '{UPPER}'), '[A-Z][A-Z'']*')) AS word FROM documents) GROUP BY 1"
+
+
+# Text and map-reduce
+
+
+@query("wordcount", WORDS_SQL)
 def wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.translate("text", LOWER, UPPER)
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.regexp_extract_all(text, F.lit("([A-Z][A-Z']*)"), 1)).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    job = mapreduce.MapReduce(mapreduce.word_count_mapper(scalar.words(F.col("text"))))
+    return job.run(read(spark, sf_dir, "documents")).select(F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+@query("mapreduce_sum", "SELECT l_returnflag || l_linestatus AS key, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT * 2 AS value FROM lineitem GROUP BY 1")
+def mapreduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = F.struct(F.concat("l_returnflag", "l_linestatus").alias("key"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"))
+    return mapreduce.MapReduce(F.array(pair), reducer=lambda k, v: v * 2).run(read(spark, sf_dir, "lineitem"))
+
+
+@query("text_with_space", "SELECT page_id, regexp_matches(html, '[ \\t\\r\\n]') AS spaced FROM pages")
+def text_with_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", scalar.has_space(F.col("html")).alias("spaced"))
+
+
+# Element-wise
+
+
+@query("scale_const", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 0.00390625::DOUBLE, 12) AS y FROM lineitem")
+def scale_const(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(scalar.scale(F.col("l_extendedprice")), 12).alias("y"))
+
+
+@query("extract_exp", "SELECT l_orderkey, l_linenumber, l_partkey, round(exp(l_discount), 6) AS y FROM lineitem")
+def extract_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.exp("l_discount"), 6).alias("y"))
+
+
+@query("compress_log", "SELECT o_orderkey, round(ln(o_totalprice), 6) AS y FROM orders")
+def compress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.log("o_totalprice"), 6).alias("y"))
+
+
+@query("saturate", "SELECT c_custkey, least(greatest(c_acctbal / 5000.0::DOUBLE, 0.0), 1.0)::DOUBLE AS y FROM customer")
+def saturate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", scalar.saturate(F.col("c_acctbal") / 5000.0).alias("y"))
+
+
+@query("rgba_pack", "SELECT l_orderkey, l_linenumber, l_partkey, least(floor(l_quantity)::BIGINT, 255) + least(floor(l_discount * 100)::BIGINT, 255) * 256 + least(floor(l_tax * 100)::BIGINT, 255) * 65536 + least(floor(l_extendedprice)::BIGINT, 255) * 16777216 AS packed FROM lineitem")
+def rgba_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = scalar.pack_rgba(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", packed.alias("packed"))
+
+
+@query("rgba_unpack", "SELECT o_orderkey, (o_orderkey & 255)::DOUBLE AS r, ((o_orderkey >> 8) & 255)::DOUBLE AS g, ((o_orderkey >> 16) & 255)::DOUBLE AS b, ((o_orderkey >> 24) & 255)::DOUBLE AS a FROM orders")
+def rgba_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for c, n in zip(scalar.unpack_rgba(F.col("o_orderkey")), "rgba")])
+
+
+@query("median3", "SELECT l_orderkey, l_linenumber, l_partkey, list_sort([l_quantity, l_discount * 100, l_tax * 100])[2] AS y FROM lineitem")
+def median3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalar.median3(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100).alias("y"))
+
+
+@query("vector_arithmetic", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * l_discount + 1.0, 6) AS a, round(l_tax * l_tax + 2.0, 6) AS b FROM lineitem")
+def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    product = scalar.vector("*", F.array("l_quantity", "l_tax"), F.array("l_discount", "l_tax"))
+    total = scalar.vector("+", product, F.array(F.lit(1.0), F.lit(2.0)))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(total[0], 6).alias("a"), F.round(total[1], 6).alias("b"))
+
+
+@query("lcg_step", "SELECT o_orderkey, (((((1103515245::HUGEINT * o_orderkey + 12345) % 4294967296) + 2147483648) % 4294967296) - 2147483648)::BIGINT AS y FROM orders")
+def lcg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.wrap32(F.col("o_orderkey") * 1103515245 + 12345).alias("y"))
+
+
+# Position windows
+
+
+GAIN = 0.01
+
+
+@query("fm_demod", f"SELECT event_id AS seq, round({GAIN}::DOUBLE * atan(value * lead(value) OVER (ORDER BY event_id)), 6) + 0.0 AS x FROM events QUALIFY lead(value) OVER (ORDER BY event_id) IS NOT NULL")
+def fm_demod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.pairs(signal(spark, sf_dir), lambda a, b: scalar.demodulate(a, b, GAIN))
+    return out.select("seq", rounded(F.col("x")).alias("x"))
+
+
+def _filter(name: str, taps: list[float], step: int = 1) -> None:
+    @query(name, f"SELECT seq, round(x, 6) + 0.0 AS x FROM ({fir_sql(f'({SIGNAL_SQL})', taps, step)})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return streams.fir(signal(spark, sf_dir), taps, step).select("seq", rounded(F.col("x")).alias("x"))
+
+
+_filter("fir_lowpass", design.band_lowpass(2, taps=TAPS))
+_filter("fir_highpass", design.band_highpass(2, taps=TAPS))
+_filter("fir_decimate", design.receiver_lowpass(250e6, 108e6, TAPS), 5)
+
+
+@query("peek_pop", "SELECT (event_id // 3)::BIGINT AS seq, round(0.0::DOUBLE + value + lead(value, 1) OVER w + lead(value, 2) OVER w + lead(value, 3) OVER w + lead(value, 4) OVER w, 6) + 0.0 AS x FROM events WINDOW w AS (ORDER BY event_id) QUALIFY event_id % 3 = 0 AND lead(value, 4) OVER w IS NOT NULL")
+def peek_pop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.fir(signal(spark, sf_dir), [1.0] * 5, 3).select("seq", rounded(F.col("x")).alias("x"))
+
+
+@query("pop_blocks", "SELECT event_id // 64 AS block, count(*) AS n, max(value) AS top FROM events GROUP BY 1 HAVING count(*) = 64")
+def pop_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.blocks_of(signal(spark, sf_dir), 64).select("block", F.size("xs").cast("long").alias("n"), F.array_max("xs").alias("top"))
+
+
+@query("sized_blocks", "WITH s AS (SELECT n_nationkey::BIGINT AS block, n_nationkey % 4 + 1 AS n, sum(n_nationkey % 4 + 1) OVER (ORDER BY n_nationkey) AS e FROM nation) SELECT block, count(*) AS n, max(value) AS top FROM s JOIN events ON event_id >= e - n AND event_id < e GROUP BY 1")
+def sized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("seq"), (F.col("n_nationkey") % 4 + 1).alias("n"))
+    return streams.sized_blocks(signal(spark, sf_dir), sizes).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("top"))
+
+
+@query("downsample", "SELECT event_id // 8 AS seq, value AS x FROM events WHERE event_id % 8 = 0")
+def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.decimate(signal(spark, sf_dir), 8)
+
+
+@query("upsample", "SELECT event_id * 8 + k AS seq, CASE WHEN k = 0 THEN value ELSE 0.0 END AS x FROM events, range(8) t(k)")
+def upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.upsample(signal(spark, sf_dir), 8)
+
+
+@query("zero_padded", "SELECT event_id AS seq, value AS x FROM events UNION ALL SELECT (SELECT count(*) FROM events) + k, 0.0 FROM range(383) t(k)")
+def zero_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.zero_padded(signal(spark, sf_dir), 383)
+
+
+# Several streams
+
+
+@query("dup_zip_add16", "SELECT event_id AS seq, (round(value * 100)::BIGINT * 136)::DOUBLE AS x FROM events")
+def dup_zip_add16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = signal(spark, sf_dir).select("seq", F.round(F.col("x") * 100).alias("x"))
+    return streams.zip_add([whole] * 16, [float(i + 1) for i in range(16)])
+
+
+def _equaliser_weights() -> list[float]:
+    return [w for g in design.equaliser_gains() for w in (-g, g)]
+
+
+@query("equalizer12", f"SELECT event_id AS seq, round(0.0::DOUBLE + {' + '.join(f'(value + {i}.0) * {num(w)}' for i, w in enumerate(_equaliser_weights()))}, 6) + 0.0 AS x FROM events")
+def equalizer12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = signal(spark, sf_dir)
+    shifted = [base.select("seq", (F.col("x") + float(i)).alias("x")) for i in range(12)]
+    return streams.zip_add(shifted, _equaliser_weights()).select("seq", rounded(F.col("x")).alias("x"))
+
+
+@query("merge_sorted", "SELECT k, count(*) AS n FROM (SELECT l_partkey AS k FROM lineitem UNION ALL SELECT p_partkey FROM part) GROUP BY 1")
+def merge_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")), read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    return streams.merge_sorted(left, right, ["k"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bank_sql() -> str:
+    parts, last = [f"s0 AS ({SIGNAL_SQL})"], []
+    for b in range(8):
+        low, high = design.band_lowpass(b, taps=BANK_TAPS), design.band_highpass(b, taps=BANK_TAPS)
+        parts.append(f"a{b} AS ({fir_sql('s0', low)})")
+        parts.append(f"b{b} AS ({fir_sql(f'a{b}', high)})")
+        parts.append(f"u{b} AS (SELECT (seq // 8) * 8 + k AS seq, CASE WHEN k = 0 THEN x ELSE 0.0 END AS x FROM b{b}, range(8) t(k) WHERE seq % 8 = 0)")
+        for kind, taps in (("l", design.band_lowpass(b, gain=8.0, taps=BANK_TAPS)), ("h", design.band_highpass(b, gain=8.0, taps=BANK_TAPS))):
+            parts.append(f"{kind}{b} AS ({fir_sql(f'u{b}', taps)})")
+            last.append(f"{kind}{b}")
+    total = " + ".join(f"{n}.x * 1.0" for n in last)
+    joins = " ".join(f"JOIN {n} USING (seq)" for n in last[1:])
+    return f"WITH {', '.join(parts)} SELECT seq, round(0.0::DOUBLE + {total}, 6) + 0.0 AS x FROM {last[0]} {joins}"
+
+
+@query("filter_bank", _bank_sql())
+def filter_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight bands at once: the band is a key column, so each stage is one shuffle."""
+    n = range(8)
+    banded = signal(spark, sf_dir).crossJoin(F.broadcast(spark.range(8).select(F.col("id").cast("int").alias("band"))))
+    low = streams.fir(banded, {b: design.band_lowpass(b, taps=BANK_TAPS) for b in n}, keys=["band"])
+    high = streams.fir(low, {b: design.band_highpass(b, taps=BANK_TAPS) for b in n}, keys=["band"])
+    wide = streams.upsample(streams.decimate(high, 8), 8)
+    ends = [streams.fir(wide, {b: f(b, gain=8.0, taps=BANK_TAPS) for b in n}, keys=["band"]) for f in (design.band_lowpass, design.band_highpass)]
+    out = streams.zip_add([e.where(F.col("band") == b) for b in n for e in ends])
+    return out.select("seq", rounded(F.col("x")).alias("x"))
+
+
+RADIO_GAIN = 0.05
+
+
+def _radio_taps() -> tuple[list[float], list[list[float]]]:
+    cut = design.equaliser_cutoffs()
+    return design.receiver_lowpass(250e6, 108e6, BANK_TAPS), [design.receiver_lowpass(1e4, cut[(k + 1) // 2], BANK_TAPS) for k in range(12)]
+
+
+def _radio_sql() -> str:
+    front, bands = _radio_taps()
+    parts = [f"s0 AS ({SIGNAL_SQL})", f"f AS ({fir_sql('s0', front, 5)})", f"d AS (SELECT seq, {RADIO_GAIN}::DOUBLE * atan(x * lead(x) OVER (ORDER BY seq)) AS x FROM f QUALIFY lead(x) OVER (ORDER BY seq) IS NOT NULL)"]
+    parts += [f"q{k} AS ({fir_sql('d', t)})" for k, t in enumerate(bands)]
+    total = " + ".join(f"q{k}.x * {num(w)}" for k, w in enumerate(_equaliser_weights()))
+    return f"WITH {', '.join(parts)} SELECT seq, round(0.0::DOUBLE + {total}, 6) + 0.0 AS x FROM q0 {' '.join(f'JOIN q{k} USING (seq)' for k in range(1, 12))}"
+
+
+@query("fm_radio", _radio_sql())
+def fm_radio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front filter, demodulator, twelve band filters, equaliser; every band counts (the literal last band would cancel)."""
+    front, bands = _radio_taps()
+    sound = streams.pairs(streams.fir(signal(spark, sf_dir), front, 5), lambda a, b: scalar.demodulate(a, b, RADIO_GAIN))
+    banded = sound.crossJoin(F.broadcast(spark.range(12).select(F.col("id").cast("int").alias("band"))))
+    filtered = streams.fir(banded, dict(enumerate(bands)), keys=["band"])
+    out = streams.zip_add([filtered.where(F.col("band") == k) for k in range(12)], _equaliser_weights())
+    return out.select("seq", rounded(F.col("x")).alias("x"))
+
+
+# Rows as arrays
+
+
+def _listed(df: DataFrame, c, digits: int = DIGITS) -> DataFrame:
+    return df.select("vec_id", F.posexplode(c).alias("k", "v")).select("vec_id", "k", rounded(F.col("v"), digits).alias("v"))
+
+
+ROWS_SQL = "SELECT vec_id, k::INTEGER AS k, round(v, 6) + 0.0 AS v FROM (SELECT vec_id, unnest(generate_series(0, len(o) - 1)) AS k, unnest(o) AS v FROM ({}))"
+_X = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+
+def _even_odd_sql(n: int, xs: str) -> str:
+    order = [s + i for s in range(0, 64, n) for i in (*range(0, n, 2), *range(1, n, 2))]
+    return f"list_transform({order}, lambda i: ({xs})[i + 1])"
+
+
+@query("even_odd_reorder", ROWS_SQL.format(f"SELECT vec_id, {_even_odd_sql(16, _X)} AS o FROM embeddings"))
+def even_odd_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.even_odd(F.col("xs"), 16))
+
+
+@query("bit_reverse64", ROWS_SQL.format(f"SELECT vec_id, list_transform({[int(f'{i:06b}'[::-1], 2) for i in range(64)]}, lambda i: ({_X})[i + 1]) AS o FROM embeddings"))
+def bit_reverse64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.bit_reversed(F.col("xs")))
+
+
+@query("expand_zero", ROWS_SQL.format(f"SELECT vec_id, list_concat({_X}, list_transform(range(36), lambda i: 0.0::DOUBLE)) AS o FROM embeddings"))
+def expand_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.expand(F.col("xs"), 100))
+
+
+@query("contract", ROWS_SQL.format(f"SELECT vec_id, list_slice({_X}, 1, 36) AS o FROM embeddings"))
+def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.contract(F.col("xs"), 36))
+
+
+@query("transpose", ROWS_SQL.format(f"SELECT vec_id, list_transform({[r * 16 + c for c in range(16) for r in range(4)]}, lambda i: ({_X})[i + 1]) AS o FROM embeddings"))
+def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.transposed(F.col("xs"), 4, 16))
+
+
+def _dft_sql(n: int, source: str, inverse: bool = False) -> str:
+    """(vec_id, k, re, im) of rows (vec_id, j, re, im)."""
+    sign, scale = ("", f" / {n}") if inverse else ("-", "")
+    angle = f"2 * pi() * ((j * k) % {n}) / {n}"
+    return f"SELECT vec_id, k, sum(re * cos({angle}) - im * ({sign}sin({angle}))){scale} AS re, sum(re * ({sign}sin({angle})) + im * cos({angle})){scale} AS im FROM ({source}), range({n}) t(k) GROUP BY vec_id, k"
+
+
+_LONG = f"SELECT vec_id, unnest(generate_series(0, 63)) AS j, unnest({_X}) AS re, 0.0::DOUBLE AS im FROM embeddings"
+
+
+def _spectrum(df: DataFrame, re, im) -> DataFrame:
+    out = df.select("vec_id", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("k", "v"))
+    return out.select("vec_id", F.col("k").cast("long").alias("k"), rounded(F.col("v.re"), 5).alias("re"), rounded(F.col("v.im"), 5).alias("im"))
+
+
+@query("fft64", f"SELECT vec_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ({_dft_sql(64, _LONG)})")
+def fft64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = vectors(spark, sf_dir)
+    return _spectrum(df, *arrays.dft(F.col("xs"), arrays.expand(F.array().cast("array<double>"), 64), 64))
+
+
+@query("ifft64", f"SELECT vec_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ({_dft_sql(64, _LONG, True)})")
+def ifft64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = vectors(spark, sf_dir)
+    return _spectrum(df, *arrays.dft(F.col("xs"), arrays.expand(F.array().cast("array<double>"), 64), 64, True))
+
+
+_TDE_IN = f"SELECT vec_id, j, CASE WHEN j < 36 THEN re ELSE 0.0 END AS re, im FROM ({_LONG})"
+_TDE_MID = f"SELECT vec_id, k AS j, re * 0.00390625 AS re, im * 0.00390625 AS im FROM ({_dft_sql(64, _TDE_IN)})"
+
+
+@query("tde", f"SELECT vec_id, k, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM ({_dft_sql(64, _TDE_MID, True)}) WHERE k < 36")
+def tde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 36 padded to 64, transformed, scaled by 1/256, transformed back with true inverse weights, and cut again."""
+    df = vectors(spark, sf_dir).select("vec_id", arrays.expand(arrays.contract(F.col("xs"), 36), 64).alias("xs"))
+    re, im = arrays.dft(F.col("xs"), arrays.expand(F.array().cast("array<double>"), 64), 64)
+    scaled = df.select("vec_id", *[F.transform(c, lambda x: scalar.scale(x)).alias(n) for c, n in ((re, "re"), (im, "im"))])
+    back = arrays.dft(F.col("re"), F.col("im"), 64, True)
+    out = scaled.select("vec_id", F.posexplode(F.arrays_zip(*[arrays.contract(c, 36).alias(n) for c, n in zip(back, ("re", "im"))])).alias("k", "v"))
+    return out.select("vec_id", F.col("k").cast("long").alias("k"), rounded(F.col("v.re")).alias("re"), rounded(F.col("v.im")).alias("im"))
+
+
+_G = design.gaussian_iir(10.0)
+_F0, _B0 = (_G["a0"] + _G["a1"]) / (1 + _G["b1"] + _G["b2"]), (_G["a2"] + _G["a3"]) / (1 + _G["b1"] + _G["b2"])
+_FORWARD_SQL = f"""f AS (
+  SELECT vec_id, 0 AS k, x, e, {num(_G['a0'])} * x + {num(_G['a1'])} * x - {num(_G['b1'])} * (x * {num(_F0)}) - {num(_G['b2'])} * (x * {num(_F0)}) AS y, x * {num(_F0)} AS y1
+  FROM (SELECT vec_id, {_X} AS e, ({_X})[1] AS x FROM embeddings)
+  UNION ALL SELECT vec_id, k + 1, e[k + 2], e, {num(_G['a0'])} * e[k + 2] + {num(_G['a1'])} * x - {num(_G['b1'])} * y - {num(_G['b2'])} * y1, y FROM f WHERE k < 63)"""
+_BACKWARD_SQL = f"""g AS (
+  SELECT vec_id, 0 AS k, x AS x1, x AS x2, e, {num(_G['a2'])} * x + {num(_G['a3'])} * x - {num(_G['b1'])} * (x * {num(_B0)}) - {num(_G['b2'])} * (x * {num(_B0)}) AS y, x * {num(_B0)} AS y1
+  FROM (SELECT vec_id, list_reverse({_X}) AS e, ({_X})[64] AS x FROM embeddings)
+  UNION ALL SELECT vec_id, k + 1, e[k + 1], x1, e, {num(_G['a2'])} * e[k + 1] + {num(_G['a3'])} * x1 - {num(_G['b1'])} * y - {num(_G['b2'])} * y1, y FROM g WHERE k < 63)"""
+
+
+@query("iir_forward", f"WITH RECURSIVE {_FORWARD_SQL} SELECT vec_id, k::INTEGER AS k, round(y, 6) + 0.0 AS v FROM f")
+def iir_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.iir_forward(F.col("xs"), _G["a0"], _G["a1"], _G["b1"], _G["b2"]))
+
+
+@query("gaussian_rows", f"WITH RECURSIVE {_FORWARD_SQL}, {_BACKWARD_SQL} SELECT f.vec_id, f.k::INTEGER AS k, round(f.y + g.y, 6) + 0.0 AS v FROM f JOIN g ON f.vec_id = g.vec_id AND g.k = 63 - f.k")
+def gaussian_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(vectors(spark, sf_dir), arrays.gaussian_rows(F.col("xs"), 10.0))
+
+
+# Grids
+
+
+GRID_SQL = "g AS (SELECT event_id // 100 AS i, event_id % 100 AS j, abs(value) + 1.0 AS v FROM events), d AS (SELECT *, coalesce(lag(v) OVER c, v) - v AS d_n, coalesce(lead(v) OVER c, v) - v AS d_s, coalesce(lag(v) OVER r, v) - v AS d_w, coalesce(lead(v) OVER r, v) - v AS d_e FROM g WINDOW c AS (PARTITION BY j ORDER BY i), r AS (PARTITION BY i ORDER BY j))"
+Q0 = 0.8
+
+
+@query("srad_gradient", f"WITH {GRID_SQL} SELECT i, j, round(d_n, 6) + 0.0 AS d_n, round(d_s, 6) + 0.0 AS d_s, round(d_w, 6) + 0.0 AS d_w, round(d_e, 6) + 0.0 AS d_e FROM d")
+def srad_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grid.gradients(grid_of(spark, sf_dir))
+    return out.select("i", "j", *[rounded(F.col(c)).alias(c) for c in ("d_n", "d_s", "d_w", "d_e")])
+
+
+@query("srad_step", f"""WITH {GRID_SQL},
+q AS (SELECT *, (0.5 * ((d_n*d_n + d_s*d_s + d_w*d_w + d_e*d_e) / (v*v)) - 0.0625 * ((d_n+d_s+d_w+d_e)/v) * ((d_n+d_s+d_w+d_e)/v)) / ((1 + 0.25 * ((d_n+d_s+d_w+d_e)/v)) * (1 + 0.25 * ((d_n+d_s+d_w+d_e)/v))) AS q FROM d),
+c AS (SELECT *, least(greatest(1 / (1 + (q - {Q0}) / ({Q0} * (1 + {Q0}))), 0.0), 1.0) AS c FROM q),
+n AS (SELECT *, coalesce(lead(c) OVER (PARTITION BY j ORDER BY i), c) AS s, coalesce(lead(c) OVER (PARTITION BY i ORDER BY j), c) AS e FROM c)
+SELECT i, j, round(v + 0.125 * (c * d_n + s * d_s + c * d_w + e * d_e), 5) + 0.0 AS v FROM n""")
+def srad_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.diffuse(grid_of(spark, sf_dir), Q0).select("i", "j", rounded(F.col("v"), 5).alias("v"))
+
+
+@query("block_stats", "SELECT event_id // 1000 AS block, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance, round(var_pop(value) / (avg(value) * avg(value)), 4) AS q0 FROM events GROUP BY 1")
+def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grid.block_statistics(signal(spark, sf_dir), F.floor(F.col("seq") / 1000))
+    return out.select("block", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"), F.round("q0", 4).alias("q0"))
+
+
+# Sorting, logs, feedback
+
+
+@query("global_sort_rank", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS rank FROM lineitem")
+def global_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return sorting.ranked(rows, F.col("l_extendedprice"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 500.0)
+
+
+@query("log_avg", "SELECT event_type, round(avg(value), 6) AS avg_value, round(avg(user_id), 6) AS avg_user_id FROM events WHERE event_type NOT LIKE '#%' GROUP BY 1")
+def log_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = logs.group_average(read(spark, sf_dir, "events").where(~F.col("event_type").startswith("#")), "event_type", ["value", "user_id"])
+    return out.select("event_type", F.round("avg_value", 6).alias("avg_value"), F.round("avg_user_id", 6).alias("avg_user_id"))
+
+
+@query("log_speedup", "SELECT n_regionkey, total, round((SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1) / total, 6) AS speedup FROM (SELECT n_regionkey, count(*) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)")
+def log_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("total"))
+    return logs.speedup(runs, F.col("n_regionkey") == 1, "total").withColumn("speedup", F.round("speedup", 6))
+
+
+@query("log_pivot", "SELECT o_orderpriority, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS O, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS F FROM orders GROUP BY 1")
+def log_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = logs.pivoted(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["O", "F"], F.col("o_totalprice"))
+    return out.select("o_orderpriority", F.round("O", 4).alias("O"), F.round("F", 4).alias("F"))
+
+
+@query("log_counts", "SELECT count(*) AS total, count(*) FILTER (event_type LIKE 'c%') AS waiting FROM events")
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("event_type").startswith("c"), 1)).alias("waiting"))
+
+
+@query("log_buckets", "SELECT floor(value / 100)::BIGINT * 100 + 1 AS bucket, count(*) AS n FROM events GROUP BY 1")
+def log_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy((F.floor(F.col("value") / 100) * 100 + 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("log_field", "SELECT string_split(p_name, ' ')[1] AS title, count(*) AS n FROM part WHERE p_name NOT LIKE '#%' GROUP BY 1")
+def log_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.field(read(spark, sf_dir, "part"), 0, "title", "p_name").groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("log_normalise", "SELECT c_custkey, round(c_acctbal / 2, 6) AS half FROM customer")
+def log_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") / 2, 6).alias("half"))
+
+
+@query("trace_edges", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
+def trace_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.change_points(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"], "event_type").drop("ts")
+
+
+@query("event_gap", "SELECT event_id, (epoch_us(lead(ts) OVER w) - epoch_us(ts))::BIGINT AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def event_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamped = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return logs.gaps(stamped, ["user_id"], "ts", "event_id").select("event_id", "gap")
+
+
+@query("live_threads", "SELECT user_id, max(live)::BIGINT AS most, round(avg(live), 6) AS mean FROM (SELECT user_id, sum(CASE WHEN event_type LIKE 'c%' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS live FROM events) GROUP BY 1")
+def live_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = logs.running_sum(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type").startswith("c"), 1).otherwise(-1))
+    return live.groupBy("user_id").agg(F.max("live").alias("most"), F.round(F.avg("live"), 6).alias("mean"))
+
+
+@query("feedback_levels", "WITH RECURSIVE r AS (SELECT o_orderkey AS k, 0 AS level FROM orders UNION ALL SELECT k // 2, level + 1 FROM r WHERE level < 6 AND k > 1) SELECT level, count(*) AS n, max(k) AS top FROM r GROUP BY 1")
+def feedback_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    out = feedback.levels(base, lambda d: d.where("k > 1").select(F.floor(F.col("k") / 2).alias("k")), 6)
+    return out.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("top"))

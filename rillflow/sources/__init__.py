@@ -1 +1,31 @@
+"""Streams and grids from tables (inventory A1-A4, A8-A11)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream: seq, x."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("value").alias("x"))
+
+
+def grid(spark: SparkSession, sf_dir: str, width: int = 100) -> DataFrame:
+    """events as a grid of positive values: i, j, v."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / width).alias("i"), (F.col("event_id") % width).alias("j"), (F.abs("value") + 1.0).alias("v"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as rows of doubles: vec_id, xs."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("xs"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """A text file's lines; splits never cut a line."""
+    return spark.read.text(path)
+
+
+def drain(df: DataFrame) -> None:
+    """Runs a plan and discards its rows."""
+    df.write.format("noop").mode("overwrite").save()
