@@ -8,7 +8,8 @@ Each pair of blocks gives its k best of each query, and a final ranking merges t
 
 Defined results: vectors that are null, empty or hold a null or non-finite component, and rows with a null id, take no
 part. Vectors are compared with those of equal length. Rows that share the query's id are the query's own and no
-candidates; other repeated ids count row by row. Ties go to the smaller id. Scores outside 64 bits are clamped. No block
+candidates; other repeated ids count row by row. Ties go to the smaller id. Scores outside 64 bits are clamped,
+and ranked as such. No block
 is ever pruned by an approximation, and no row is sent to the driver.
 """
 
@@ -68,11 +69,12 @@ def _block(cands, queries, k: int):
         rows = [[int(x) for x in r] for r in c]
         for own, vec in zip(q_ids.tolist(), q):
             v = [int(x) for x in vec]
-            scored = sorted((-sum(a * b for a, b in zip(v, r)), i) for i, r in zip(c_ids.tolist(), rows) if i != own)[:k]
+            clamped = lambda r: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, r))))  # noqa: E731, B023
+            scored = sorted((-clamped(r), i) for i, r in zip(c_ids.tolist(), rows) if i != own)[:k]
             for s, i in scored:
                 out[0].append(own)
                 out[1].append(i)
-                out[2].append(max(-(1 << 63), min((1 << 63) - 1, -s)))
+                out[2].append(-s)
         return out
     columns = np.ascontiguousarray(c.T)
     squares = (columns * columns)[::-1].cumsum(axis=0)[::-1]
