@@ -7,10 +7,14 @@ ERRORS places left out. Every pair within the distance meets under a key; a pair
 only, and is linked if the full sets' similarity reaches the threshold. At the threshold itself (0.75) a signature
 differs in more than ERRORS_TOTAL places with a probability of about 8e-6; more similar pairs fare better still.
 
-Hot keys. A key with more than CELL_ROWS signatures is split into pairs of parts, so no task holds an unbounded group.
-Within a cell not all pairs are proposed at once: in round r those with one of the first 4^r members, and of the rest only
-pairs that the links found so far have not joined are proposed in later rounds, until none are left. That is complete:
-each pair within the distance is confirmed or refuted on full sets, or already in one component.
+A second signature of 128 values cut to 8 bits is compared before a pair is proposed: at the threshold it differs in more
+than WIDE_ERRORS places with a probability below 1e-6, while texts that only share a passage differ in more.
+
+Hot keys. Keys of one document are dropped at once. A key with more than CELL_ROWS documents is split into cells of two
+parts each, so that no task holds an unbounded group. Where a cell has many pairs, only those with its first member are
+proposed at first; then the cell is settled in one task that holds its members' full sets: each pair within the distances
+is confirmed or refuted unless the links found before have joined it already. That is complete, and no more than one link
+for each member leaves a cell.
 
 Components come from repeated contraction along random priorities, entirely in Spark.
 
@@ -35,7 +39,8 @@ from .substrings import _free
 WORDS, PERCENT = 5, 75
 SYMBOLS, ERRORS_TOTAL, CHUNKS, ERRORS = 32, 19, 10, 1
 #: Signatures of a cell's part; members up to which all pairs of a cell are proposed at once.
-CELL_ROWS, SMALL = 4096, 8
+CELL_ROWS, SMALL = 1024, 8
+WIDE, WIDE_ERRORS = 128, 56
 #: Members of a group that confirms one document's links.
 STAR = 64
 #: Hashed words that a worker keeps.
@@ -83,15 +88,16 @@ def shingles(text: str | None) -> np.ndarray:
 @functools.cache
 def _multipliers() -> np.ndarray:
     rng = np.random.default_rng(97)
-    return rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(1, 1 << 63, SYMBOLS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(names: np.ndarray) -> np.ndarray:
-    """MinHash values cut to 16 bits."""
-    best = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(names), 1 << 14):
-        best = np.minimum(best, (names[at : at + (1 << 14), None] * _multipliers()).min(axis=0))
-    return (_scramble(best) & np.uint64(0xFFFF)).astype("<u2")
+def signature(names: np.ndarray) -> bytes:
+    """MinHash values: SYMBOLS cut to 16 bits, then WIDE cut to 8 bits."""
+    best = np.full(SYMBOLS + WIDE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(names), 512):
+        best = np.minimum(best, (names[at : at + 512, None] * _multipliers()).min(axis=0))
+    best = _scramble(best)
+    return best[:SYMBOLS].astype("<u2").tobytes() + best[SYMBOLS:].astype(np.uint8).tobytes()
 
 
 @functools.cache
@@ -125,34 +131,66 @@ def described(docs: DataFrame) -> DataFrame:
                 raw = names.tobytes()
                 name = xxhash.xxh3_128_intdigest(raw)
                 two = np.array([name >> 64, name & (1 << 64) - 1], dtype=np.uint64).view(np.int64).tolist()
-                for k, v in zip(out, (doc, len(names), *two, signature(names).tobytes() if len(names) else None)):
+                for k, v in zip(out, (doc, len(names), *two, signature(names) if len(names) else None)):
                     out[k].append(v)
             yield out
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _matrix(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, SYMBOLS)
+def _matrices(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, 2 * SYMBOLS + WIDE)
+    return np.ascontiguousarray(both[:, : 2 * SYMBOLS]).view("<u2"), both[:, 2 * SYMBOLS :]
 
 
-def _keyed(sigs: DataFrame) -> DataFrame:
-    """key, slot, doc, comp, sig: a row for each key of each signature."""
+def _cells(reps: DataFrame) -> DataFrame:
+    """cell, slot, doc: the documents that meet under a key; slot is the key's number."""
 
-    def run(batches):
+    def keyed(batches):
         n = len(key_places())
         for b in batches:
-            rows = len(b["doc"])
-            for at in range(0, rows, 256):
-                part = {k: v[at : at + 256] for k, v in b.items()}
-                size = len(part["doc"])
-                yield {
-                    "key": pa.array(keys(_matrix(part["sig"])).view(np.int64).ravel()), "slot": pa.array(np.tile(np.arange(n, dtype=np.int32), size)),
-                    "doc": pa.array(np.repeat(np.array(part["doc"], dtype=np.int64), n)), "comp": pa.array(np.repeat(np.array(part["comp"], dtype=np.int64), n)),
-                    "sig": pa.array(part["sig"], pa.binary()).take(pa.array(np.repeat(np.arange(size), n))),
-                }
+            size = len(b["doc"])
+            yield {
+                "key": pa.array(keys(_matrices(b["sig"])[0]).view(np.int64).ravel()), "slot": pa.array(np.tile(np.arange(n, dtype=np.int32), size)),
+                "doc": pa.array(np.repeat(np.array(b["doc"], dtype=np.int64), n)),
+            }
 
-    return map_batches(sigs.select("doc", "comp", "sig"), run, "key long, slot int, doc long, comp long, sig binary")
+    rows = map_batches(reps.select("doc", "sig"), keyed, "key long, slot int, doc long")
+    ordered = rows.repartition(max(parts(reps.sparkSession), 12), "key").sortWithinPartitions("key", "doc")
+
+    def met(batches):
+        held = None
+        for b in _ended(batches):
+            if b is not None:
+                now = tuple(np.array(b[k], dtype=np.int64) for k in ("key", "slot", "doc"))
+                held = now if held is None else tuple(np.concatenate(v) for v in zip(held, now))
+            if held is None or not len(held[0]):
+                continue
+            key, slot, doc = held
+            change = np.flatnonzero(key[1:] != key[:-1]) + 1
+            to = len(key) if b is None else (int(change[-1]) if len(change) else 0)
+            starts = np.concatenate([[0], change[change < to]]) if to else np.zeros(0, int)
+            size = np.diff(np.append(starts, to)) if to else np.zeros(0, int)
+            of = np.repeat(size, size)
+            plain = np.flatnonzero((of > 1) & (of <= CELL_ROWS))
+            yield {"cell": pa.array(key[plain]), "slot": pa.array(slot[plain].astype(np.int32)), "doc": pa.array(doc[plain])}
+            for at, n in zip(starts[size > CELL_ROWS].tolist(), size[size > CELL_ROWS].tolist()):
+                half = CELL_ROWS // 2
+                ends = range(0, n, half)
+                for i, x in enumerate(ends):
+                    for y in ends[i + 1 :] if len(ends) > 1 else ends:
+                        members = np.concatenate([doc[at + x : at + min(n, x + half)], doc[at + y : at + min(n, y + half)]])
+                        name = _scramble(np.array([key[at] ^ (x * 0x1000003 + y + 1)], dtype=np.int64).view(np.uint64)).view(np.int64)[0]
+                        yield {"cell": [int(name)] * len(members), "slot": [int(slot[at])] * len(members), "doc": pa.array(members)}
+            held = key[to:], slot[to:], doc[to:]
+
+    return map_batches(ordered, met, "cell long, slot int, doc long")
+
+
+def _ended(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
 
 
 def _first_key(a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -164,93 +202,134 @@ def _first_key(a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return first == slot
 
 
-def propose(doc: np.ndarray, comp: np.ndarray, sig: np.ndarray, slot: np.ndarray, run_of: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row numbers) to confirm among complete cells, and the documents of cells with pairs left for later rounds.
-
-    run_of: the number of each row's cell, rising."""
-    size = np.bincount(run_of)[run_of]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    later: list[np.ndarray] = []
-    small = size <= SMALL
-    for d in range(1, SMALL):
-        i = np.flatnonzero(small[:-d] & (run_of[:-d] == run_of[d:]) & (comp[:-d] != comp[d:])) if len(doc) > d else np.zeros(0, int)
-        if len(i):
-            i = i[(sig[i] != sig[i + d]).sum(axis=1) <= ERRORS_TOTAL]
-            found.append((i, i + d))
-    big = np.flatnonzero(~small)
-    for rows in np.split(big, np.flatnonzero(np.diff(run_of[big])) + 1) if len(big) else []:
-        s, c, n = np.ascontiguousarray(sig[rows].T), comp[rows], len(rows)
-        if (c == c[0]).all():
-            continue
-        count, kept = 0, []
-        for at in range(0, n, 256):
-            to = min(n, at + 256)
-            off = np.zeros((to - at, n), dtype=np.uint8)
-            for place in s:
-                off += place[at:to, None] != place
-            near = (off <= ERRORS_TOTAL) & (c[at:to, None] != c) & (np.arange(n) > np.arange(at, to)[:, None])
-            i, j = np.nonzero(near)
+def _alike(sig: np.ndarray, wide: np.ndarray, slot: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs are within both distances and meet under this key first."""
+    out = [np.zeros(0, bool)]
+    for at in range(0, len(i), 1 << 15):
+        x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        good = (wide[x] != wide[y]).sum(axis=1) <= WIDE_ERRORS
+        good[good] = (sig[x[good]] != sig[y[good]]).sum(axis=1) <= ERRORS_TOTAL
+        good[good] = _first_key(sig[x[good]], sig[y[good]], slot[x[good]])
+        out.append(good)
+    return np.concatenate(out)
+
+
+def _near(sig: np.ndarray, wide: np.ndarray, slot: np.ndarray, comp: np.ndarray, low: int, high: int):
+    """Pairs (i, j), i < j, of one cell that lie in different components and are alike, a run of members i at a time."""
+    n, columns = len(sig), np.ascontiguousarray(sig.T)
+    for at in range(low, high, 256):
+        to = min(high, at + 256)
+        off = np.zeros((to - at, n), dtype=np.uint8)
+        for place in columns:
+            off += place[at:to, None] != place
+        i, j = np.nonzero((off <= ERRORS_TOTAL) & (comp[at:to, None] != comp) & (np.arange(n) > np.arange(at, to)[:, None]))
+        i += at
+        good = _alike(sig, wide, slot, i, j)
+        yield i[good], j[good]
+
+
+def propose(cell: np.ndarray, comp: np.ndarray, sig: np.ndarray, wide: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Pairs (row numbers) to confirm in complete cells: all pairs of cells of few pairs, and those of the first member of
+    the others, which are named too."""
+    change = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+    starts = np.concatenate([[0], change])
+    size = np.diff(np.append(starts, len(cell)))
+    of = np.repeat(size, size)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))]
+    later: list[int] = []
+    for d in range(1, min(SMALL, len(cell))):
+        i = np.flatnonzero((of[:-d] <= SMALL) & (cell[:-d] == cell[d:]))
+        good = _alike(sig, wide, slot, i, i + d)
+        found.append((i[good], i[good] + d))
+    for start, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rows = slice(start, start + n)
+        mine, count = [], 0
+        for i, j in _near(sig[rows], wide[rows], slot[rows], comp[rows], 0, n):
+            mine.append((i + start, j + start))
             count += len(i)
-            i += at
-            # once there are too many for all of them, only the pivots' pairs are kept
-            kept.append((i, j) if count <= 4 * n + 64 else (i[i < pivots], j[i < pivots]))
-        if count > 4 * n + 64:
-            kept = [(i[i < pivots], j[i < pivots]) for i, j in kept]
-            if pivots < n:
-                later.append(doc[rows])
-        found += [(rows[i], rows[j]) for i, j in kept]
-    i = np.concatenate([np.zeros(0, int), *[x for x, _ in found]])
-    j = np.concatenate([np.zeros(0, int), *[x for _, x in found]])
-    if len(i):
-        good = np.concatenate([_first_key(sig[i[at : at + 65536]], sig[j[at : at + 65536]], slot[i[at : at + 65536]]) for at in range(0, len(i), 65536)])
-        i, j = i[good], j[good]
-    return i, j, np.unique(np.concatenate([np.zeros(0, np.int64), *later]))
-
-
-def _candidates(sigs: DataFrame, pivots: int) -> DataFrame:
-    """a, b: pairs to confirm (a < b); b is null for documents of cells with pairs left over."""
-    spark = sigs.sparkSession
-    rows = _keyed(sigs)
-    hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).select(F.col("key").alias("hot"), F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("s")), "hot-keys")
-    if hot.isEmpty():
-        cells = rows.withColumn("cell", F.lit(0))
-    else:  # part p of s parts goes to the cells (p, q) and (q, p) of all q: each two parts meet in one cell
-        part = F.pmod(F.xxhash64("doc"), F.col("s")).cast("int")
-        cell = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda q: F.least(q, F.col("p")) * F.col("s") + F.greatest(q, F.col("p")))
-        split = rows.join(hot, F.col("key") == F.col("hot"), "left").withColumn("p", part)
-        cells = split.select("key", "slot", "doc", "comp", "sig", F.explode(F.coalesce(cell, F.array(F.lit(0)))).alias("cell"))
-    ordered = cells.repartition(max(parts(spark), 12), "key", "cell").sortWithinPartitions("key", "cell", "doc")
+            if count > 2 * n:
+                mine = [(i[i == start], j[i == start]) for i, j in mine]
+                later.append(int(cell[start]))
+                break
+        found += mine
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), later
+
+
+def _in_cells(ordered: DataFrame, columns: list[str], of, schema: str) -> DataFrame:
+    """What of() makes of arrays of complete cells; rows come ordered by cell. columns: the long ones beside cell."""
 
     def run(batches):
         held = None
+        for b in _ended(batches):
+            if b is not None:
+                now = [np.array(b[k], dtype=np.int64) for k in ("cell", *columns)] + list(_matrices(b["sig"]))
+                if "names" in b:
+                    now.append(np.array([*b["names"], None], dtype=object)[:-1])
+                held = now if held is None else [np.concatenate(v) for v in zip(held, now)]
+            if held is None or not len(held[0]):
+                continue
+            change = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            to = len(held[0]) if b is None else (int(change[-1]) if len(change) else 0)
+            if to:
+                yield of(*(v[:to] for v in held))
+                held = [v[to:] for v in held]
+
+    return map_batches(ordered, run, schema)
+
+
+def _candidates(cells: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a, b: pairs to confirm (a < b); where b is null, a is a cell to settle."""
+    rows = cells.join(sigs, "doc").select("cell", "slot", "doc", "comp", "sig")
+    ordered = rows.repartition(max(parts(cells.sparkSession), 12), "cell").sortWithinPartitions("cell", "doc")
+
+    def of(cell, doc, comp, slot, sig, wide):
+        i, j, more = propose(cell, comp, sig, wide, slot)
+        x, y = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+        return {"a": pa.array(np.concatenate([x, np.array(more, dtype=np.int64)])), "b": pa.array(np.concatenate([y, np.zeros(len(more), np.int64)]), mask=np.repeat([False, True], [len(x), len(more)]))}
 
-        def split(x, end):
-            """Proposals of the complete cells of x, and what is left of x."""
-            key, cell = x[0], x[1]
-            change = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            to = len(key) if end else (int(change[-1]) if len(change) else 0)
-            if not to:
-                return None, x
-            run_of = np.zeros(to, dtype=np.int64)
-            run_of[change[change < to]] = 1
-            run_of = np.cumsum(run_of)
-            doc, comp, sig, slot = x[2][:to], x[3][:to], x[4][:to], x[5][:to]
-            i, j, more = propose(doc, comp, sig, slot, run_of, pivots)
-            a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-            out = {"a": pa.array(np.concatenate([a, more])), "b": pa.array(np.concatenate([b, more]), mask=np.repeat([False, True], [len(a), len(more)]))}
-            return out, tuple(v[to:] for v in x)
+    return _in_cells(ordered, ["doc", "comp", "slot"], of, "a long, b long")
 
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets have percent of their union in common."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def settle(cells: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links between members of these cells that lie in different components, enough to join all that are linked."""
+
+    def named(batches):
         for b in batches:
-            now = (*(np.array(b[k], dtype=np.int64) for k in ("key", "cell", "doc", "comp")), _matrix(b["sig"]), np.array(b["slot"], dtype=np.int64))
-            held = now if held is None else tuple(np.concatenate(v) for v in zip(held, now))
-            out, held = split(held, False)
-            if out:
-                yield out
-        if held is not None and len(held[0]):
-            out, _ = split(held, True)
-            yield out
+            yield {"doc": b["doc_id"], "names": [shingles(t).tobytes() for t in b["text"]]}
 
-    return map_batches(ordered, run, "a long, b long")
+    wanted = cells.select(F.col("doc").alias("_d")).distinct()
+    names = map_batches(docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("_d"), "left_semi").select("doc_id", "text"), named, "doc long, names binary")
+    rows = cells.join(sigs, "doc").join(names, "doc").select("cell", "slot", "doc", "comp", "sig", "names")
+    ordered = rows.repartition(max(parts(cells.sparkSession), 12), "cell").sortWithinPartitions("cell", "doc")
+
+    def of(cell, doc, comp, slot, sig, wide, names):
+        out: dict[str, list] = {"a": [], "b": []}
+        for rows in np.split(np.arange(len(cell)), np.flatnonzero(cell[1:] != cell[:-1]) + 1):
+            root: dict[int, int] = {}
+
+            def find(x):
+                while (y := root.get(x, x)) != x:
+                    x = y
+                return x
+
+            sets = [np.frombuffer(names[r], dtype=np.uint64) for r in rows]
+            c = comp[rows]
+            for i, j in _near(sig[rows], wide[rows], slot[rows], c, 0, len(rows)):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = find(int(c[x])), find(int(c[y]))
+                    if p != q and linked(sets[x], sets[y]):
+                        root[max(p, q)] = min(p, q)
+                        out["a"].append(int(doc[rows[x]]))
+                        out["b"].append(int(doc[rows[y]]))
+        return out
+
+    return _in_cells(ordered, ["doc", "comp", "slot"], of, "a long, b long")
 
 
 def confirm(edges: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -261,7 +340,8 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     members = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc"))
     needs = members.unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc")).distinct())
     texts = docs.select(F.col("doc_id").alias("_doc"), "text")
-    rows = needs.join(texts, F.col("doc") == F.col("_doc")).drop("_doc")
+    # always by sorting: the texts' place in the plan does not change with the number of pairs
+    rows = needs.join(texts.hint("merge"), F.col("doc") == F.col("_doc")).drop("_doc")
     ordered = rows.repartition(parts(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "doc")
 
     def run(batches):
@@ -276,8 +356,7 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                     centre.append(names)
                     continue
                 for own in centre:
-                    both = len(np.intersect1d(own, names, assume_unique=True))
-                    if both and 100 * both >= percent * (len(own) + len(names) - both):
+                    if linked(own, names, percent):
                         out["a"].append(a)
                         out["b"].append(doc)
                         break
@@ -314,19 +393,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(described(docs), "sets")
     real = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = written(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "classes")
-    links, label, pivots, todo = None, None, 1, reps.select("doc", F.col("doc").alias("comp"), "sig")
-    while True:
-        proposed = written(_candidates(todo, pivots), "proposals")
-        found = written(confirm(proposed.where(F.col("b").isNotNull()).distinct(), docs), "links")
+    cells = written(_cells(reps), "cells")
+    _free(docs.sparkSession)
+    sigs = reps.select("doc", F.col("doc").alias("comp"), "sig")
+    proposed = written(_candidates(cells, sigs), "proposals")
+    links = written(confirm(proposed.where(F.col("b").isNotNull()).distinct(), docs), "links")
+    _free(docs.sparkSession)
+    label = components(links)
+    open_cells = proposed.where(F.col("b").isNull()).select(F.col("a").alias("cell"))
+    if not open_cells.isEmpty():
+        now = label.select(F.col("doc").alias("_d"), F.col("comp").alias("_c"))
+        sigs = reps.join(now, F.col("doc") == F.col("_d"), "left").select("doc", F.coalesce("_c", "doc").alias("comp"), "sig")
+        more = written(settle(cells.join(open_cells, "cell", "left_semi"), sigs, docs), "settled")
         _free(docs.sparkSession)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        more = written(proposed.where(F.col("b").isNull()).select(F.col("a").alias("doc")).distinct(), "unsettled")
-        if more.isEmpty():
-            break
-        pivots *= 4
-        known = label.select(F.col("doc").alias("_d"), F.col("comp").alias("_c"))
-        todo = reps.join(more, "doc").join(known, F.col("doc") == F.col("_d"), "left").select("doc", F.coalesce("_c", "doc").alias("comp"), "sig")
+        label = components(links.unionByName(more))
     known = reps.join(label.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").select("h1", "h2", "doc", F.coalesce("comp", "doc").alias("comp"))
     least = known.groupBy("comp").agg(F.min("doc").alias("component"))
     named = known.join(least, "comp").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component")
