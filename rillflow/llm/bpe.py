@@ -12,13 +12,14 @@ read, so other columns of any name do no harm.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
 import heapq
-from itertools import chain
-
 import re
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_batches, table, tokenizer_path
@@ -27,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The Unicode property White_Space, as tiktoken's \s has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Entries that a worker's caches of encoded strings hold; beyond it a cache starts anew, which costs time only.
-CACHE = 400_000
+CACHE = 600_000
 
 
 class Bpe:
@@ -41,9 +42,14 @@ class Bpe:
         # No piece goes on over white space, so a chunk (one blank at most, then no white space) can be split by itself.
         self.chunks = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.byte_id = [ranks[bytes([i])] for i in range(256)]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.seen: dict[str, tuple[str, bytes, int]] = {}
+        self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.byte_pair = np.full((int(self.byte_id.max()) + 1,) * 2, -1, dtype=np.int64)  # ranks of pairs of single bytes
+        for pair, rank in ranks.items():
+            if len(pair) == 2:
+                self.byte_pair[ranks[pair[:1]], ranks[pair[1:]]] = rank
+        self.pair_rank: dict[int, int] = {}
+        self.known: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
+        self.seen: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -52,96 +58,111 @@ class Bpe:
     def replay(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of each of the distinct pieces."""
         rank_of, bytes_of = self.ranks.get, self.bytes_of
-        ids: list[int] = []  # at a symbol's first position its id, else -1
-        after: list[int] = []  # the position of the next symbol of the piece, or -1
-        before: list[int] = []
-        owner: list[int] = []
-        whole: list[tuple[int, ...] | None] = []
-        starts: list[int] = []
-        for k, piece in enumerate(pieces):
-            raw = piece.encode("utf-8", "surrogatepass")
-            starts.append(len(ids))
-            if (r := rank_of(raw)) is not None:  # a piece in the vocabulary is one token, whatever the merges say
-                whole.append((r,))
-                continue
-            whole.append(None)
-            first, n = len(ids), len(raw)
-            ids += map(self.byte_id.__getitem__, raw)
-            after += range(first + 1, first + n)
-            after.append(-1)
-            before.append(-1)
-            before += range(first, first + n - 1)
-            owner += [k] * n
+        pair_rank = self.pair_rank
+        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        whole = [rank_of(r) for r in raws]  # a piece in the vocabulary is one token, whatever the merges say
+        rest = [r for r, w in zip(raws, whole) if w is None]
+        ends = np.cumsum([len(r) for r in rest], dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]]) if len(rest) else ends
+        symbols = self.byte_id[np.frombuffer(b"".join(rest), dtype=np.uint8)]
+        linked = np.arange(len(symbols), dtype=np.int64)
+        after, before = linked + 1, linked - 1  # the positions of a symbol's neighbours in its piece, or -1
+        after[ends - 1] = before[starts] = -1
         index: dict[int, list[int]] = {}
-        pair_rank: dict[tuple[int, int], int] = {}
+        if len(symbols):
+            first = np.where(after >= 0, self.byte_pair[symbols, symbols[after]], -1)
+            order = np.argsort(first, kind="stable")
+            ranks, at = np.unique(first[order], return_index=True)
+            for r, found in zip(ranks.tolist(), np.split(order, at[1:])):
+                if r >= 0:
+                    index[r] = found.tolist()
+        ids, after, before = symbols.tolist(), after.tolist(), before.tolist()  # of a merged pair the second id is -1
+        heap = list(index)
+        heapq.heapify(heap)
+        push = heapq.heappush
 
-        def rank(a: int, b: int) -> int:
-            r = pair_rank.get((a, b))
-            if r is None:
-                r = pair_rank[a, b] = rank_of(bytes_of[a] + bytes_of[b], -1)
+        def learn_pair(a: int, b: int) -> int:
+            r = pair_rank[a << 20 | b] = rank_of(bytes_of[a] + bytes_of[b], -1)
             return r
 
-        for i, j in enumerate(after):
-            if j >= 0 and (r := rank(ids[i], ids[j])) >= 0:
-                index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
+        piece_of = ends.tolist()
         while heap:
             r = heapq.heappop(heap)
-            at = index.pop(r, None)
-            if at is None:
-                continue
+            at = index.pop(r)
             at.sort()
             held: set[int] = set()  # pieces in which a merge of lower rank has become possible
             for i in at:
                 j = after[i]
-                if ids[i] < 0 or j < 0 or rank(ids[i], ids[j]) != r:
+                a = ids[i]
+                if a < 0 or j < 0:
+                    continue
+                here = pair_rank.get(a << 20 | ids[j])
+                if (learn_pair(a, ids[j]) if here is None else here) != r:
                     continue
-                if held and owner[i] in held:
+                if held and bisect.bisect_right(piece_of, i) in held:
                     if r not in index:
                         index[r] = []
-                        heapq.heappush(heap, r)
+                        push(heap, r)
                     index[r].append(i)
                     continue
                 ids[i], ids[j] = r, -1
                 after[i] = k = after[j]
                 if k >= 0:
                     before[k] = i
-                for left, right in ((before[i], i), (i, k)):
-                    if left >= 0 and right >= 0 and (new := rank(ids[left], ids[right])) >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(left)
+                    new = pair_rank.get(r << 20 | ids[k])
+                    if new is None:
+                        new = learn_pair(r, ids[k])
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            push(heap, new)
                         if new < r:
-                            held.add(owner[i])
-        out = []
-        starts.append(len(ids))
-        for k, one in enumerate(whole):
-            out.append(one if one is not None else tuple(x for x in ids[starts[k] : starts[k + 1]] if x >= 0))
-        return out
+                            held.add(bisect.bisect_right(piece_of, i))
+                h = before[i]
+                if h >= 0:
+                    new = pair_rank.get(ids[h] << 20 | r)
+                    if new is None:
+                        new = learn_pair(ids[h], r)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(h)
+                        else:
+                            index[new] = [h]
+                            push(heap, new)
+                        if new < r:
+                            held.add(bisect.bisect_right(piece_of, i))
+        left = np.array(ids, dtype=np.int64) >= 0
+        kept = [x for x in ids if x >= 0]
+        count = np.concatenate([[0], np.cumsum(left)])
+        spans = iter(zip(count[starts].tolist(), count[ends].tolist()))
+        return [(w,) if w is not None else tuple(kept[slice(*next(spans))]) for w in whole]
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes what the caches lack of these chunks."""
-        split = {c: self.pieces.findall(c) for c in chunks}
-        new = list({p for x in split.values() for p in x} - self.known.keys())
+        """Encodes what the caches lack of these chunks; an entry is (ids as text, decoded bytes, ids)."""
+        split = [(c, self.pieces.findall(c)) for c in chunks]
+        new = list({p for _, x in split for p in x} - self.known.keys())
         if len(self.known) + len(new) > CACHE:
             self.known = {}
-            new = list({p for x in split.values() for p in x})
-        self.known.update(zip(new, self.replay(new)))
-        if len(self.seen) > CACHE:
-            self.seen = {}
-        known = self.known
-        for c, pieces in split.items():
-            ids = tuple(chain.from_iterable(known[p] for p in pieces))
-            self.seen[c] = (" ".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)), ids)
+            new = list({p for _, x in split for p in x})
+        known, bytes_of = self.known, self.bytes_of
+        for p, ids in zip(new, self.replay(new)):
+            known[p] = (" ".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]), ids)
+        seen = self.seen
+        for c, pieces in split:
+            if len(pieces) == 1:
+                seen[c] = known[pieces[0]]
+            else:
+                parts = [known[p] for p in pieces]
+                seen[c] = (" ".join([x[0] for x in parts]), b"".join([x[1] for x in parts]), tuple(chain.from_iterable([x[2] for x in parts])))
 
     def encode_all(self, texts: list[str | None]) -> list[list[tuple[str, bytes, tuple[int, ...]]]]:
         """For each text its chunks' (ids as text, decoded bytes, ids)."""
         split = [self.chunks.findall(t) if t else [] for t in texts]
         distinct = set(chain.from_iterable(split))
         if missing := distinct - self.seen.keys():
-            if len(self.seen) > CACHE:
+            if len(self.seen) + len(missing) > CACHE:
                 self.seen = {}
                 missing = distinct
             self.learn(missing)
