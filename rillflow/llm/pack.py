@@ -20,6 +20,9 @@ import functools
 import heapq
 import re
 import zlib
+from array import array
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +35,8 @@ WINDOW, PIECE = 2048, 256
 #: Documents in a group, on average.
 GROUP_DOCS = 512
 #: Encoded words that a worker keeps.
-CACHE = 500_000
-#: White space for both the tokenizer's pattern and this module; texts with other separators are encoded whole.
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+CACHE = 700_000
+#: Separators on which str.split() and the tokenizer may differ, and special tokens; texts with any are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
 
 
@@ -49,27 +51,20 @@ class Words:
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > CACHE:
-            self.known = {}
+            self.known.clear()
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self.learn(list(dict.fromkeys(w for w in words if w not in known)))
-            return b"".join(map(self.known.__getitem__, words)) if all(w in self.known for w in words) else self._again(words)
-
-    def _again(self, words: list[str]) -> bytes:
-        self.learn(list(dict.fromkeys(words)))
-        return b"".join(map(self.known.__getitem__, words))
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; the words that are not known yet are encoded together."""
+        split = [None if t is None or _ODD.search(t) else t.split() for t in texts]
+        distinct = set(chain.from_iterable(x for x in split if x))
+        if missing := distinct - self.known.keys():
+            if len(self.known) + len(missing) > CACHE:
+                missing = distinct
+            self.learn(list(missing))
+        known = self.known.__getitem__
+        return [b"".join(map(known, x)) if x is not None else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t, x in zip(texts, split)]
 
 
 @functools.cache
@@ -80,10 +75,13 @@ def loaded(path: str) -> Words:
     return Words(path)
 
 
+_sum = itemgetter(0)
+
+
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """Sums and members (indices into sizes) of the k parts that multiway differencing makes; empty parts included."""
     # A partial partition: its non-zero (sum, members) in falling order; the other k - len parts are empty.
-    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes) if s]
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes) if s]
     heapq.heapify(heap)
     n = len(sizes)
     while len(heap) > 1:
@@ -93,14 +91,25 @@ def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
         if len(a) <= free:
             merged = a + b
         else:  # a's largest go to b's empty parts, the others to b's smallest
-            merged = a[:free] + [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[free:], reversed(b))] + b[: len(b) - (len(a) - free)]
-        merged.sort(key=lambda x: -x[0])
+            merged = a[:free] + [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[free:], reversed(b))] + b[: len(b) - (len(a) - free)]
+        merged.sort(key=_sum, reverse=True)
         low = merged[-1][0] if len(merged) == k else 0
         heapq.heappush(heap, (low - merged[0][0], n, merged))
         n += 1
     parts = heap[0][2] if heap else []
-    parts = parts + [(0, []) for _ in range(k - len(parts))]
-    return [s for s, _ in parts], [m for _, m in parts]
+    return [s for s, _ in parts] + [0] * (k - len(parts)), [_members(m) for _, m in parts] + [[] for _ in range(k - len(parts))]
+
+
+def _members(tree) -> list[int]:
+    """The leaves of nested pairs."""
+    out, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            todo += reversed(x)
+        else:
+            out.append(x)
+    return out
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -122,8 +131,8 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece
         words = loaded(path)
         for b in batches:
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | ({"ids": []} if with_ids else {})
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = words.encode(text) + end
+            for doc, ids in zip(b["doc_id"], words.encode_all(b["text"])):
+                ids += end
                 n = len(ids) // 4
                 at = 0
                 while at < n:
