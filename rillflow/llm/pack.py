@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import zlib
 from array import array
 from itertools import chain
@@ -37,7 +36,7 @@ GROUP_DOCS = 512
 #: Encoded words that a worker keeps.
 CACHE = 700_000
 #: Separators on which str.split() and the tokenizer may differ, and special tokens; texts with any are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
+_ODD = (*"\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff", *map(chr, range(0x2000, 0x2010)), "<|")
 
 
 class Words:
@@ -57,7 +56,7 @@ class Words:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; the words that are not known yet are encoded together."""
-        split = [None if t is None or _ODD.search(t) else t.split() for t in texts]
+        split = [None if t is None or any(c in t for c in _ODD) else t.split() for t in texts]
         distinct = set(chain.from_iterable(x for x in split if x))
         if missing := distinct - self.known.keys():
             if len(self.known) + len(missing) > CACHE:
