@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table, tokenizer_path
+from .common import caches, map_batches, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The Unicode property White_Space, as tiktoken's \s has it.
@@ -181,6 +181,9 @@ def loaded(path: str, pattern: str) -> Bpe:
     return Bpe.load(path, pattern)
 
 
+caches(__name__, loaded.cache_clear)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id_col, ids array<int>) for every row."""
     import public_tokenizers

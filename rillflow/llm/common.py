@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +21,10 @@ BATCH_ROWS, BATCH_BYTES = 1024, "16m"
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
+#: What empties the caches of each module, and the module whose functions this worker ran last.
+_CACHES: dict[str, Callable[[], object]] = {}
+_LAST: list[str] = [""]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +85,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def caches(module: str, clear: Callable[[], object]) -> None:
+    """Says how a module's caches are emptied, see begin()."""
+    _CACHES[module] = clear
+
+
+def begin(module: str) -> None:
+    """Empties other modules' caches: a worker that Spark uses again for another operator holds the caches of one only."""
+    if _LAST[0] == module:
+        return
+    _LAST[0] = module
+    for name, clear in _CACHES.items():
+        if name != module:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over dicts of Python lists. fn maps an iterator of input batches to output batches, once in each task."""
     small_batches(df.sparkSession)
@@ -85,9 +111,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterabl
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kind = to_arrow_schema(StructType.fromDDL(schema))
+    kind, module = to_arrow_schema(StructType.fromDDL(schema)), fn.__module__
 
     def run(batches):
+        begin(module)
         for out in fn(b.to_pydict() for b in batches):
             if len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_pydict({f.name: x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in kind}, schema=kind)

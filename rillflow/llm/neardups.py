@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, map_batches, parts, table, written
+from .common import caches, drop, map_batches, parts, table, written
 from .substrings import _free
 
 WORDS, PERCENT = 5, 75
@@ -69,6 +69,7 @@ class _Words(dict):
 
 
 _words = _Words()
+caches(__name__, _words.clear)
 
 
 def shingles(text: str | None) -> np.ndarray:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, tokenizer_path
+from .common import caches, map_batches, table, tokenizer_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 WINDOW, PIECE = 2048, 256
@@ -74,6 +74,9 @@ def loaded(path: str) -> Words:
     return Words(path)
 
 
+caches(__name__, loaded.cache_clear)
+
+
 _sum = itemgetter(0)
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, parts, scratch_path, table, written
+from .common import caches, map_batches, parts, scratch_path, table, written
 
 LENGTH = 200
 #: Bytes of a block of texts (one longer text is a block of its own), and keys of a bucket, on average.
@@ -88,6 +88,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def _forget() -> None:
+    global _powers
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+caches(__name__, _forget)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
