@@ -373,8 +373,15 @@ def all_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list, list]]:
 
 
 def sampled_tagger(docs: DataFrame) -> Tagger:
-    """A tagger trained on the driver on a bounded sample of docs."""
-    rows = docs.where(F.length("text") > 0).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    """A tagger trained on the driver on a bounded sample of docs; rows without an id are not in it.
+
+    The ids are chosen first, so that a task sends ids to the driver, and texts of chosen documents only."""
+    some = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    order = F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")
+    # bounded by SAMPLE_DOCS, so it may be broadcast
+    chosen = some.select("doc_id").orderBy(*order).limit(SAMPLE_DOCS).dropDuplicates()
+    texts = some.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = texts.orderBy(*order, "text").limit(SAMPLE_DOCS).collect()
     return train([r.text for r in rows])
 
 
