@@ -19,11 +19,11 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
-from array import array
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,37 +33,92 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 WINDOW, PIECE = 2048, 256
 #: Documents in a group, on average.
 GROUP_DOCS = 512
-#: Encoded words that a worker keeps.
-CACHE = 700_000
-#: Separators on which str.split() and the tokenizer may differ, and special tokens; texts with any are encoded whole.
-_ODD = (*"\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff", *map(chr, range(0x2000, 0x2010)), "<|")
+#: Encoded words that a worker keeps; beyond it the cache starts anew, which costs time only.
+CACHE = 400_000
+#: Characters whose words are encoded together, and parts of words that one call of the tokenizer takes.
+RUN_CHARS, JOINED = 4_000_000, 512
+#: A word up to its last plain letter or digit, and the marks after it: the tokenizer always cuts there.
+_PARTS = r"(?s)^(?P<head>.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[!-/:-@\[-`{-~]*)$"
 
 
 class Words:
-    """The tokenizer, with the ids of each white-space-delimited word kept as bytes: no token goes over white space."""
+    """The tokenizer, with the ids of words and of their parts kept as bytes: no token goes over ASCII white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        #: A word of one token, set between words that are encoded together, and its id.
+        self.mark = next((m for m in "~^`\\@" if len(self._ids(m)) == 1), None)
+        self.mark_id = self._ids(self.mark)[0] if self.mark else -1
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: list[str]) -> None:
+        """Adds the ids of these words. The mark's id must come up once between any two, or they are encoded one by one."""
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = array("I", e.ids).tobytes()
+        known, step = self.known, JOINED if self.mark else 1
+        runs = [words[i : i + step] for i in range(0, len(words), step)]
+        joined = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(r) for r in runs], add_special_tokens=False)
+        for run, e in zip(runs, joined):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(run) - 1:
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(run, [*(4 * cuts).tolist(), len(raw)]):
+                    known[w] = raw[start:end]
+                    start = end + 4
+            else:
+                for w in run:
+                    known[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if missing := [w for w in words if w not in self.known]:
+            if len(self.known) + len(missing) > CACHE:
+                missing = words
+            self.learn(missing)
+        return list(map(self.known.__getitem__, words))
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = lists.values.dictionary_encode()
+        cut = pc.extract_regex(words.dictionary, _PARTS)
+        heads = pc.ascii_lower(pc.coalesce(pc.struct_field(cut, "head"), words.dictionary)).dictionary_encode()
+        tails = pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", pa.large_string())).dictionary_encode()
+        ids = self._looked_up(_strings(heads)) + self._looked_up(_strings(tails))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        starts = np.cumsum(size) - size
+        which = words.indices.to_numpy()
+        part = np.empty(2 * len(which), dtype=np.int64)  # the parts of the texts' words, head and tail by turns
+        part[0::2] = heads.indices.to_numpy()[which]
+        part[1::2] = tails.indices.to_numpy()[which] + len(heads.dictionary)
+        n = size[part]
+        ends = np.cumsum(n)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(starts[part] - (ends - n), n) + np.arange(n.sum())]
+        bounds = np.concatenate([[0], ends])[2 * lists.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; the words that are not known yet are encoded together."""
-        split = [None if t is None or any(c in t for c in _ODD) else t.split() for t in texts]
-        distinct = set(chain.from_iterable(x for x in split if x))
-        if missing := distinct - self.known.keys():
-            if len(self.known) + len(missing) > CACHE:
-                missing = distinct
-            self.learn(list(missing))
-        known = self.known.__getitem__
-        return [b"".join(map(known, x)) if x is not None else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t, x in zip(texts, split)]
+        """Little-endian 32-bit ids of each text. Texts that may hold a special token's name are encoded whole."""
+        out: list[bytes] = []
+        run: list[str] = []
+        chars = 0
+        for t in texts:
+            run.append(t if t and "<|" not in t else "")
+            chars += len(run[-1])
+            if chars > RUN_CHARS:
+                out += self._run(run)
+                run, chars = [], 0
+        out += self._run(run)
+        return [np.array(self._ids(t), dtype="<u4").tobytes() if t and "<|" in t else x for t, x in zip(texts, out)]
+
+
+def _strings(coded: pa.DictionaryArray) -> list[str]:
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 @functools.cache
