@@ -17,9 +17,12 @@ import functools
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import caches, map_batches, table, tokenizer_path
@@ -27,8 +30,18 @@ from .common import caches, map_batches, table, tokenizer_path
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The Unicode property White_Space, as tiktoken's \s has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Entries that a worker's caches of encoded strings hold; beyond it a cache starts anew, which costs time only.
-CACHE = 600_000
+#: Encoded units that a worker keeps; beyond it the cache starts anew, which costs time only.
+CACHE = 400_000
+#: Characters whose chunks are looked up together.
+RUN_CHARS = 4_000_000
+#: A chunk of plain letters and the marks after them, which are one piece each.
+PARTS = r"^(?P<head> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+#: What an empty string gives.
+NOTHING = (b"", b"", 0)
+
+
+def _numbers(ids: bytes) -> list[int]:
+    return [int(i) for i in ids.split()]
 
 
 class Bpe:
@@ -48,8 +61,7 @@ class Bpe:
             if len(pair) == 2:
                 self.byte_pair[ranks[pair[:1]], ranks[pair[1:]]] = rank
         self.pair_rank: dict[int, int] = {}
-        self.known: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
-        self.seen: dict[str, tuple[str, bytes, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[bytes, bytes, int]] = {"": NOTHING}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -139,38 +151,62 @@ class Bpe:
         spans = iter(zip(count[starts].tolist(), count[ends].tolist()))
         return [(w,) if w is not None else tuple(kept[slice(*next(spans))]) for w in whole]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes what the caches lack of these chunks; an entry is (ids as text, decoded bytes, ids)."""
-        split = [(c, self.pieces.findall(c)) for c in chunks]
-        new = list({p for _, x in split for p in x} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({p for _, x in split for p in x})
+    def learn(self, units: list[str], odd: set[str]) -> None:
+        """Adds (ids as text, decoded bytes, number of ids) of these units. Those not in odd are one piece each."""
         known, bytes_of = self.known, self.bytes_of
-        for p, ids in zip(new, self.replay(new)):
-            known[p] = (" ".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]), ids)
-        seen = self.seen
-        for c, pieces in split:
-            if len(pieces) == 1:
-                seen[c] = known[pieces[0]]
-            else:
-                parts = [known[p] for p in pieces]
-                seen[c] = (" ".join([x[0] for x in parts]), b"".join([x[1] for x in parts]), tuple(chain.from_iterable([x[2] for x in parts])))
-
-    def encode_all(self, texts: list[str | None]) -> list[list[tuple[str, bytes, tuple[int, ...]]]]:
-        """For each text its chunks' (ids as text, decoded bytes, ids)."""
-        split = [self.chunks.findall(t) if t else [] for t in texts]
-        distinct = set(chain.from_iterable(split))
-        if missing := distinct - self.seen.keys():
-            if len(self.seen) + len(missing) > CACHE:
-                self.seen = {}
-                missing = distinct
-            self.learn(missing)
-        seen = self.seen
-        return [[seen[c] for c in x] for x in split]
+        split = [self.pieces.findall(u) if u in odd else (u,) for u in units]
+        new = list(set(chain.from_iterable(split)))
+        ids_of = dict(zip(new, self.replay(new)))
+        for u, pieces in zip(units, split):
+            ids = ids_of[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in ids_of[p]]
+            known[u] = ("%d " * len(ids) % tuple(ids)).encode(), b"".join([bytes_of[i] for i in ids]), len(ids)
+
+    def _looked_up(self, units: list[str], odd: set[str]) -> list[tuple[bytes, bytes, int]]:
+        if missing := [u for u in units if u not in self.known]:
+            if len(self.known) + len(missing) > CACHE:
+                self.known = {"": NOTHING}
+                missing = [u for u in units if u]
+            self.learn(missing, odd)
+        return list(map(self.known.__getitem__, units))
+
+    def _run(self, texts: list[str]) -> list[tuple[bytes, bytes, int]]:
+        split = [self.chunks.findall(t) for t in texts]
+        chunks = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        cut = pc.extract_regex(chunks.dictionary, PARTS)
+        odd = set(chunks.dictionary.filter(cut.is_null()).to_pylist())
+        heads = pc.coalesce(pc.struct_field(cut, "head"), chunks.dictionary)
+        tails = pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", pa.large_string())).dictionary_encode()
+        found = self._looked_up(heads.to_numpy(zero_copy_only=False).tolist(), odd) + self._looked_up(tails.dictionary.to_pylist(), odd)
+        # Which units the chunks of the texts are, head and tail by turns.
+        which = chunks.indices.to_numpy()
+        unit = np.empty(2 * len(which), dtype=np.int64)
+        unit[0::2] = which
+        unit[1::2] = tails.indices.to_numpy()[which] + len(heads)
+        ids, raw = np.empty(len(found), dtype=object), np.empty(len(found), dtype=object)
+        ids[:], raw[:] = [x[0] for x in found], [x[1] for x in found]
+        count = np.concatenate([[0], np.cumsum(np.array([x[2] for x in found], dtype=np.int64)[unit])]).tolist()
+        ids, raw = ids[unit].tolist(), raw[unit].tolist()
+        out, a = [], 0
+        for x in split:
+            b = a + 2 * len(x)
+            out.append((b"".join(ids[a:b])[:-1], b"".join(raw[a:b]), count[b] - count[a]))
+            a = b
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes, int]]:
+        """For each text (ids as text, decoded bytes, number of ids)."""
+        run: list[str] = []
+        chars = 0
+        for t in texts:
+            run.append(t or "")
+            chars += len(run[-1])
+            if chars > RUN_CHARS:
+                yield from self._run(run)
+                run, chars = [], 0
+        yield from self._run(run)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for x in self.encode_all([text])[0] for i in x[2]]
+        return _numbers(next(self.encode_all([text]))[0])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -193,7 +229,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         bpe = loaded(path, pattern)
         for b in batches:
-            yield {id_col: b[id_col], "ids": [[i for x in e for i in x[2]] for e in bpe.encode_all(b[text_col])]}
+            yield {id_col: b[id_col], "ids": [_numbers(ids) for ids, _, _ in bpe.encode_all(b[text_col])]}
 
     kind = dict(docs.dtypes)[id_col]
     return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
@@ -224,10 +260,10 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         bpe = loaded(path, pattern)
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for e in bpe.encode_all(b["text"]):
-                out["n_tokens"].append(sum(len(x[2]) for x in e))
-                out["ids_sha256"].append(hashlib.sha256(" ".join([x[0] for x in e]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join([x[1] for x in e])).hexdigest())
+            for ids, raw, n in bpe.encode_all(b["text"]):
+                out["n_tokens"].append(n)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
             yield out
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
