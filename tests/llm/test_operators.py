@@ -137,6 +137,19 @@ def test_packing(spark):
         assert at <= 2048
 
 
+def test_word_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = pack.tokenizer_path(pack.VOCABULARY)
+    t, words = Tokenizer.from_file(path), pack.Words(path)
+    r = random.Random(5)
+    letters = "aAbBéÉßσΣςıİ'’`~.,!?#$%&*<|>≠\u0301 \t\n\xa0\u2009\u200d\ufeff\x1c\x00０1９日ª²"
+    texts = [None, "", " ", "~ ~ ~~ a~ ^`", " ~ b ~ ", "It's don't WE'LL 'tis it's.", "ΑΣ İI ẞß Straße.", "<|endoftext|> a<|startoftext|>b", "12345abc678 ²³½", "a" * 3000 + "! é"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    for text, ids in zip(texts, words.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def test_differencing_is_near_equal():
     r = random.Random(2)
     sizes = [r.randint(1, 256) for _ in range(400)]
