@@ -18,6 +18,8 @@ from ..session import ship
 
 #: Rows of an Arrow batch: texts may be long, and a Python worker holds one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 1024, "16m"
+#: Rows that the Parquet reader decodes at a time: its vectors of long texts are large objects on the executor's heap.
+READ_ROWS = 256
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -83,6 +85,8 @@ def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def caches(module: str, clear: Callable[[], object]) -> None:
