@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -14,3 +16,14 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
+    # a is loaded twice, b and c share an id, b's near copy shares d's
+    rows = [(7, a), (7, a), (8, b), (8, c), (9, d), (9, b + " more"), (10, a)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(tuple(x) for x in kept.collect()) == sorted([(7, a), (8, b), (8, c), (9, d)])
+    left = corpus_pipeline.repeated_passages(spark, kept, "")
+    assert {x.text for x in left.collect()} == {a, b, c, d}
