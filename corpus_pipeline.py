@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group, repeated rows included: that of the smallest id. Rows without an id can't be told apart and go."""
+    """One row of each group, repeated rows included: that of the smallest id, and one without an id only if no other has one."""
     return neardups.one_of_each(docs)
 
 

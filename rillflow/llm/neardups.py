@@ -417,14 +417,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each component: the row of the smallest id, and of rows that repeat it the first.
+    """docs, all columns, with one row of each component: the row of the smallest id, and of rows that repeat it the first;
+    a row without an id stays where its component has none with one.
 
     Rows are judged under numbers of their own, so that rows that share a doc_id are rows like any others: equal texts
     leave one row, different texts are compared as such. The numbers are kept with the rows in a table, as a second
-    reading might give others. Rows without an id go."""
-    rows = written(docs.where(F.col("doc_id").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    reading might give others."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     judged = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct("doc_id", "_row")).getField("_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).getField("_row")
     chosen = judged.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("_row"))
     return rows.join(chosen.select("_row"), "_row", "left_semi").select(*docs.columns)
 

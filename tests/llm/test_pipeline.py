@@ -27,3 +27,12 @@ def test_repeated_rows_and_ids(spark):
     assert sorted(tuple(x) for x in kept.collect()) == sorted([(7, a), (8, b), (8, c), (9, d)])
     left = corpus_pipeline.repeated_passages(spark, kept, "")
     assert {x.text for x in left.collect()} == {a, b, c, d}
+
+
+def test_rows_without_an_id(spark):
+    r = random.Random(4)
+    a, b, c = (" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(3))
+    # a is clean, b comes twice, c is a near copy of a document with an id
+    rows = [(None, a), (None, b), (None, b), (None, c + " more"), (5, c)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(None, a), (None, b), (5, c)], key=str)
