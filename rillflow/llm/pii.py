@@ -29,7 +29,7 @@ from .common import map_batches, table
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the network is trained on, at most, and characters taken from each.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 4000
-HIDDEN, TAGS = 6, 5
+HIDDEN, TAGS, ROUNDS = 12, 5, 400
 WINDOW, OVERLAP = 256, 32
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +39,9 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Shapes of what the network may add: written-out or spaced at-signs, local phone formats.
+_MAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_PHONE_SHAPE = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}")
 _DOUBLED = [sum(divmod(2 * d, 10)) for d in range(10)]
 
 
@@ -272,11 +275,11 @@ def generated(r: random.Random) -> tuple[str, int]:
         sep = r.choice([" ", "-", "", "."])
         return sep.join(_digits(r, 4) for _ in range(4)), 3
     if kind < 7:
-        return r.choice([f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}", f"+{_digits(r, 2)} {_digits(r, 3)} {_digits(r, 7)}"]), 4
+        return r.choice([f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}", f"+{_digits(r, 2)} {_digits(r, 3)} {_digits(r, 7)}", f"{_digits(r, 3)}.{_digits(r, 3)}.{_digits(r, 4)}", f"0{_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}"]), 4
     return r.choice([f"{r.randint(1900, 2099)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"v{r.randint(0, 9)}.{r.randint(0, 99)}.{r.randint(0, 9)}", f"{r.randint(0, 9999)}.{_digits(r, 2)}", _digits(r, r.randint(1, 6)), f"{_digits(r, 2)}:{_digits(r, 2)}:{_digits(r, 2)}", f"$${_digits(r, 3)}", f"@{word()}", "".join(r.choice("0123456789abcdef") for _ in range(40))]), 0
 
 
-def train(texts: list[str], rounds: int = 140, width: int = 96, steps: int = 96, seed: int = 11) -> Tagger:
+def train(texts: list[str], rounds: int = ROUNDS, width: int = 96, steps: int = 96, seed: int = 11) -> Tagger:
     """A tagger fitted on windows of texts, whose labels are the patterns' matches and inserted generated spans."""
     r = random.Random(seed)
     xs, ys = [], []
@@ -310,15 +313,15 @@ def train(texts: list[str], rounds: int = 140, width: int = 96, steps: int = 96,
 
 
 def plausible(kind: int, s: str) -> bool:
-    """Whether a decoded string has the outward shape of its kind."""
+    """Whether a decoded string has the outward shape of its kind; every form that generated() labels has."""
     digits = sum(c.isdigit() for c in s)
     if kind == 0:
-        return len(s) >= 7 and "." in s and ("@" in s or "at" in s) and " (at) " in f" {s} " + s or ("[at]" in s and "." in s)
+        return _MAIL_SHAPE.fullmatch(s) is not None
     if kind == 1:
-        return s.count(".") == 3 and 4 <= digits <= 12 and len(s) == digits + 3
+        return _IP.fullmatch(s) is not None and all(int(p) <= 255 for p in s.split("."))
     if kind == 2:
         return 13 <= digits <= 19 and len(s) <= digits + 6
-    return 9 <= digits <= 13 and len(s) <= digits + 8 and ("-" in s or "(" in s)
+    return 9 <= digits <= 15 and _PHONE_SHAPE.fullmatch(s) is not None
 
 
 def decode_texts(tagger: Tagger, texts: list[str], block: int = 2048) -> list[list[tuple[int, int, int]]]:
