@@ -61,12 +61,17 @@ def test_chat(spark):
     assert chat.examples(df).where("has_target").count() == 4
 
 
-def test_substrings(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "BLOCK_BYTES", 400)
+@pytest.mark.parametrize(("length", "hot"), [(20, 10**9), (20, 0), (7, 3), (200, 10**9)])
+def test_substrings(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 400 if length < 200 else 4000)
+    monkeypatch.setattr(substrings, "HOT_RUNS", hot)
     r = random.Random(3)
     pool = ["".join(r.choice("abcd é") for _ in range(r.randint(20, 200))) for _ in range(6)]
     texts = [*TEXTS, *["".join(r.choice(pool)[r.randint(0, 50) :] for _ in range(r.randint(1, 4))) for _ in range(30)]]
-    length = 20
+    if length == 200:  # nothing but two letters in an order that fools sums of powers: no two strings are equal
+        bits = "".join("ab"[bin(i).count("1") % 2] for i in range(64))
+        filler = "".join(r.choice("cdefgh") for _ in range(127))
+        texts += ["".join(x + filler for x in bits), "".join({"a": "b", "b": "a"}[x] + filler for x in bits)]
     raw = [(t or "").encode() for t in texts]
     count = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
     got = {x.doc_id: x for x in substrings.removed(frame(spark, texts), length).collect()}
@@ -83,6 +88,21 @@ def test_substrings(spark, monkeypatch):
     assert substrings.removed(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_suffixes_are_sorted():
+    r = random.Random(1)
+    for letters, n, length in ((b"ab", 400, 20), (b"ab", 3000, 200), (b"a", 700, 200), (b"abc", 800, 40), (b"ab", 100, 3), (bytes(range(256)), 500, 8)):
+        for t in range(8):
+            pool = [bytes(r.choice(letters) for _ in range(r.randint(length // 2, 3 * length))) for _ in range(3)]
+            x = b"".join(r.choice(pool) for _ in range(12))[:n]
+            at = np.arange(len(x) - length + 1)[:: 1 + t % 2]
+            raw = np.frombuffer(x, np.uint8)
+            strings = [x[i : i + length] for i in at.tolist()]
+            count = Counter(strings)
+            assert substrings.suffix_repeats(raw, at, length).tolist() == [count[s] > 1 for s in strings]
+            ordered = [strings[i] for i in substrings.suffix_order(raw, at, length)[0].tolist()]
+            assert ordered == sorted(strings)
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(neardups, "CELL_ROWS", 16)
     r = random.Random(5)
