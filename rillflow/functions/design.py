@@ -61,12 +61,3 @@ def twiddles(n: int, inverse: bool = False) -> tuple[list[float], list[float]]:
     """cos and sin of every multiple of the base angle, forward (negative angle) or inverse."""
     sign = 1 if inverse else -1
     return [math.cos(2 * math.pi * k / n) for k in range(n)], [sign * math.sin(2 * math.pi * k / n) for k in range(n)]
-
-
-def lcg(n: int, x: int = 0) -> list[int]:
-    """The first n values of x = 1103515245 x + 12345 in wrapping 32-bit integers (inventory A5, C14); a driver-side fixture."""
-    out = []
-    for _ in range(n):
-        x = (1103515245 * x + 12345) & 0xFFFFFFFF
-        out.append(x - (1 << 32) if x >= 1 << 31 else x)
-    return out

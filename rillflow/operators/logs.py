@@ -38,6 +38,14 @@ def gaps(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     return df.withColumn("gap", F.unix_micros(following) - F.unix_micros(time))
 
 
+def steady_mean(df: DataFrame, keys: list[str], live: str = "live", skip: int = 10) -> DataFrame:
+    """most: the largest number of live threads; steady: their mean over the events at which at least a skip-th of that number
+    was alive, so that starting and ending do not count (N11)."""
+    w = Window.partitionBy(*keys)
+    top = df.withColumn("_most", F.max(live).over(w))
+    return top.groupBy(*keys).agg(F.max("_most").alias("most"), F.avg(F.when(F.col(live) * skip >= F.col("_most"), F.col(live))).alias("steady"))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], delta: Column) -> DataFrame:
     """live: the running sum of delta."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

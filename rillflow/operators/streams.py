@@ -1,14 +1,24 @@
 """Ordered streams: frames with a ``seq`` column. Position windows, routing and positional merging (inventory B, D, E, F).
 
 Position windows never order a whole stream in one task. A stream is cut into blocks of BLOCK positions; each block also
-gets the first P - 1 rows of the next one (its halo), so every window lies in one block, and blocks are worked on as
-arrays inside generated code.
+gets the first P - 1 rows of the next one (its halo), so every window lies in one block. A kernel's body works on blocks as
+numpy arrays, an Arrow batch of blocks at a time. Streams that run in parallel (bands, duplicates) are lanes: one frame with
+a lane column, so a stage over all of them is one scan and one shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..session import ship
 
 BLOCK = 4096
 
@@ -29,33 +39,59 @@ def _blocks(df: DataFrame, peek: int, keys: list[str], value: str, block: int) -
     return held.select(*keys, "_block", F.transform("_s", lambda s: s[value]).alias("xs"))
 
 
-def _dot(xs: Column, at: Column, taps: Column, n: int) -> Column:
-    return F.aggregate(F.zip_with(F.slice(xs, at + 1, n), taps, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-
+def kernel(df: DataFrame, body: Callable, peek: int = 1, pop: int = 1, keys: list[str] | None = None, value: str = "x", block: int = BLOCK, lane: str | None = None) -> DataFrame:
+    """A user's kernel: body(xs, key) gives one output for each complete window of ``peek`` elements, a window beginning at
+    every pop-th position (B5, B14, K1). xs holds a run of elements that ends with its last window; key the values of the key
+    columns. With ``lane``, body gives a dict from lane numbers to outputs, and the result has that column too.
 
-def fir(df: DataFrame, taps: list[float] | dict, step: int = 1, keys: list[str] | None = None, value: str = "x", block: int = BLOCK) -> DataFrame:
-    """sum_i taps[i] * x[step * o + i] as the o-th output, for complete windows only.
-
-    taps may be a dict from the value of the one key column to that key's taps."""
+    Nulls reach the body as NaN. Positions (seq) must be dense from 0 within their keys; rows at the end that no complete
+    window has are drained."""
     keys = keys or []
+    block = max(1, -(-max(block, peek) // pop)) * pop
+    ship(df.sparkSession)
+    held = _blocks(df, peek, keys, value, block).select(*keys, "_block", "xs")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *([f"`{lane}` int"] if lane else []), "seq long", f"`{value}` double"])
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                xs = b.column(b.num_columns - 1)[r].values.to_numpy(zero_copy_only=False)
+                n = min(block // pop, (len(xs) - peek) // pop + 1)
+                if n < 1:
+                    continue
+                key = [b.column(k)[r] for k in range(len(keys))]
+                seq = b.column(len(keys))[r].as_py() * (block // pop) + np.arange(n)
+                out = body(xs[: (n - 1) * pop + peek].astype(np.float64), tuple(k.as_py() for k in key))
+                for at, y in out.items() if lane else [(None, out)]:
+                    lanes = [pa.array(np.full(n, at, dtype=np.int32))] if lane else []
+                    yield pa.RecordBatch.from_arrays([*(pa.repeat(k, n) for k in key), *lanes, pa.array(seq), pa.array(y)], schema=fields)
+
+    return held.mapInArrow(run, schema)
+
+
+def _filtered(xs: np.ndarray, taps: list[float], step: int) -> np.ndarray:
+    """Sums of products, added up in the order of the taps for all outputs at once."""
+    n = (len(xs) - len(taps)) // step + 1
+    y = np.zeros(n)
+    for i, c in enumerate(taps):
+        y += xs[i : i + (n - 1) * step + 1 : step] * c
+    return y
+
+
+def fir(df: DataFrame, taps: list[float] | dict, step: int = 1, keys: list[str] | None = None, value: str = "x", block: int = BLOCK, lane: str | None = None) -> DataFrame:
+    """sum_i taps[i] * x[step * o + i] as the o-th output, for complete windows only.
+
+    taps may be a dict from the value of the first key column to that key's taps or, with ``lane``, from a lane's number to its
+    taps: every stream then goes through all of these filters, and the result has that column."""
     several = isinstance(taps, dict)
     n = len(next(iter(taps.values()))) if several else len(taps)
-    block = max(1, -(-max(block, n) // step)) * step
-    held = _blocks(df, n, keys, value, block)
-    array = lambda c: F.array(*[F.lit(float(v)) for v in c])
-    if several:
-        key = F.col(keys[0])
-        chosen = None
-        for k, v in taps.items():
-            chosen = F.when(key == k, array(v)) if chosen is None else chosen.when(key == k, array(v))
-        held = held.withColumn("_taps", chosen)
+    if lane:
+        body = lambda xs, _: {k: _filtered(xs, t, step) for k, t in taps.items()}
     else:
-        held = held.withColumn("_taps", array(taps))
-    # outputs of a block: window starts that belong to it and whose window is complete
-    last = F.least(F.lit(block - step), F.floor((F.size("xs") - n) / step) * step)
-    starts = F.when(F.size("xs") >= n, F.sequence(F.lit(0), last.cast("int"), F.lit(step)))
-    out = held.select(*keys, "_block", F.explode(F.transform(starts, lambda at: F.struct(at.alias("at"), _dot(F.col("xs"), at, F.col("_taps"), n).alias("y")))).alias("o"))
-    return out.select(*keys, ((F.col("_block") * block + F.col("o.at")) / step).cast("long").alias("seq"), F.col("o.y").alias(value))
+        body = lambda xs, key: _filtered(xs, taps[key[0]] if several else taps, step)
+    return kernel(df, body, n, step, keys, value, block, lane)
 
 
 def pairs(df: DataFrame, f, keys: list[str] | None = None, value: str = "x", block: int = BLOCK) -> DataFrame:
@@ -73,13 +109,21 @@ def blocks_of(df: DataFrame, n: int, short_last: bool = False, value: str = "x")
     return out if short_last else out.where(F.size("xs") == n)
 
 
-def sized_blocks(df: DataFrame, sizes: DataFrame, value: str = "x") -> DataFrame:
-    """Blocks whose sizes another stream (seq, n) gives (E11): seq, block. The size stream is the shorter one by far."""
-    from pyspark.sql import Window
+def sized_blocks(df: DataFrame, sizes: DataFrame, value: str = "x", width: int = BLOCK) -> DataFrame:
+    """Blocks whose sizes another stream (seq, n) gives (E11): seq, value, block. Elements beyond the last block are drained;
+    a size of null or below 1 gives no block.
 
-    ends = sizes.select(F.col("seq").alias("block"), F.sum("n").over(Window.orderBy("seq")).alias("end"), "n")
-    ranges = ends.select("block", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("seq"))
-    return df.join(ranges, "seq").select("seq", value, "block")
+    The sizes' running sum is taken over runs of ``width`` sizes and over the runs' sums, and an element finds its block among
+    those that overlap its own range of ``width`` positions: neither side is made longer but for blocks over several ranges."""
+    at = sizes.where(F.col("n") > 0).select("seq", F.col("n").cast("long").alias("n"), F.floor(F.col("seq") / width).alias("_run"))
+    runs = at.groupBy(F.col("_run").alias("_r")).agg(F.sum("n").alias("_total"))
+    before = runs.select("_r", F.coalesce(F.sum("_total").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum("n").over(Window.partitionBy("_run").orderBy("seq"))
+    ends = at.withColumn("_in", within).join(before, F.col("_run") == F.col("_r")).select(F.col("seq").alias("block"), (F.col("_before") + F.col("_in")).alias("_end"), "n")
+    first = F.col("_end") - F.col("n")
+    ranges = ends.select("block", first.alias("_from"), "_end", F.explode(F.sequence(F.floor(first / width), F.floor((F.col("_end") - 1) / width))).alias("_range"))
+    rows = df.withColumn("_range", F.floor(F.col("seq") / width))
+    return rows.join(ranges, "_range").where((F.col("seq") >= F.col("_from")) & (F.col("seq") < F.col("_end"))).select("seq", value, "block")
 
 
 def decimate(df: DataFrame, m: int) -> DataFrame:
@@ -94,16 +138,41 @@ def upsample(df: DataFrame, n: int, value: str = "x") -> DataFrame:
     return df.select(*rest, "seq", value, k).select(*rest, (F.col("seq") * n + F.col("_k")).alias("seq"), F.when(F.col("_k") == 0, F.col(value)).otherwise(F.lit(0.0)).alias(value))
 
 
+def lanes(df: DataFrame, n: int, lane: str = "lane") -> DataFrame:
+    """n copies of a stream, told apart by a lane column (D1, D2): the stream is read once."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(lane))
+
+
+def zip_lanes(df: DataFrame, weights: list[float], lane: str = "lane", value: str = "x") -> DataFrame:
+    """The weighted sum of lanes position by position, where every lane has a row (F1, F2): one shuffle, after a partial
+    aggregation. The terms are added in the order of the lanes."""
+    each = [F.max(F.when(F.col(lane) == i, F.col(value))).alias(f"_v{i}") for i in range(len(weights))]
+    zipped = df.groupBy("seq").agg(F.count(lane).alias("_n"), *each).where(F.col("_n") == len(weights))
+    return zipped.select("seq", reduce(lambda s, i: s + F.col(f"_v{i}") * F.lit(float(weights[i])), range(len(weights)), F.lit(0.0)).alias(value))
+
+
 def zip_add(streams: list[DataFrame], weights: list[float] | None = None, value: str = "x") -> DataFrame:
     """The weighted sum of streams position by position (F1, F2), where all have a row: one shuffle for any number of streams."""
-    from functools import reduce
+    tagged = [s.select("seq", F.lit(i).alias("lane"), F.col(value).alias(value)) for i, s in enumerate(streams)]
+    return zip_lanes(reduce(DataFrame.unionByName, tagged), weights or [1.0] * len(streams), value=value)
+
+
+def equaliser_weights(gains: list[float], literal: bool = False) -> list[float]:
+    """Lane weights of sum_k g[k] (q[2k + 1] - q[2k]) (F2); literal: the last band is taken from itself and cancels."""
+    weights = [w for g in gains for w in (-g, g)]
+    return [*weights[:-2], 0.0, 0.0] if literal else weights
+
+
+def zip_files(parts: list[DataFrame], names: list[str], value: str = "value") -> DataFrame:
+    """Streams side by side, one column each, position by position; null where a stream has ended."""
+    tagged = [s.select("seq", F.lit(i).alias("lane"), F.col(value).cast("string").alias("_v")) for i, s in enumerate(parts)]
+    return reduce(DataFrame.unionByName, tagged).groupBy("seq").agg(*[F.max(F.when(F.col("lane") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)])
 
-    tagged = [s.select("seq", F.lit(i).alias("_i"), F.col(value).alias("_v")) for i, s in enumerate(streams)]
-    w = weights or [1.0] * len(streams)
-    all_of = reduce(DataFrame.unionByName, tagged).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("vs"))
-    return all_of.where(F.size("vs") == len(streams)).select("seq", _dot(F.col("vs"), F.lit(0), F.array(*[F.lit(float(x)) for x in w]), len(streams)).alias(value))
 
+def merge_sorted(left: DataFrame, right: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """The stable merge of two sorted streams, left first on ties (F4): the rows with ``side`` and ``rank``, their place in it
+    from 0. Equal rows of one stream keep their order, which the columns ``within`` tell."""
+    from .sorting import ranked
 
-def merge_sorted(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
-    """The stable merge of two sorted streams, left first on ties (F4), in order of the result."""
-    return left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1))).orderBy(*order, "_side").drop("_side")
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    return ranked(both, [*order, "side", *(within or [])])

@@ -34,6 +34,9 @@ class Program:
         if not self.starts:
             raise ValueError("no start kernel")
 
+    def start_list(self) -> list[str]:
+        return sorted(self.starts)
+
     def edges(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(q, *v) for q, v in self.queues.items()], "queue string, producer string, consumer string, is_feedback boolean")
 
@@ -44,6 +47,14 @@ class Program:
         return "\n".join([*lines, "}"])
 
 
+def adjacency(edges: DataFrame, feedback: bool = True) -> DataFrame:
+    """kernel, successors, predecessors (sorted arrays, empty at the graph's ends): forward and backward adjacency (DM10)."""
+    used = edges if feedback else edges.where(~F.col("is_feedback"))
+    ends = used.select(F.col("producer").alias("kernel"), F.col("consumer").alias("to"), F.lit(None).cast("string").alias("back"))
+    ends = ends.unionByName(used.select(F.col("consumer").alias("kernel"), F.lit(None).cast("string").alias("to"), F.col("producer").alias("back")))
+    return ends.groupBy("kernel").agg(F.sort_array(F.collect_set("to")).alias("successors"), F.sort_array(F.collect_set("back")).alias("predecessors"))
+
+
 def neighbours(edges: DataFrame, feedback: bool = True) -> DataFrame:
     """kernel, successors (sorted array)."""
     used = edges if feedback else edges.where(~F.col("is_feedback"))

@@ -11,6 +11,18 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one where that is unset, in local runs only."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="rillflow-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Adds this package's sources to the application once, so that workers started anywhere can import it."""
     app = spark.sparkContext.applicationId
