@@ -7,14 +7,13 @@ import ctypes
 import gc
 import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import checkpoint_dir, ship
 
 #: Rows of an Arrow batch: texts may be long, and a Python worker holds one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 1024, "16m"
@@ -32,15 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="rillflow-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -52,7 +42,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/rillflow/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/rillflow/{name}-{uuid.uuid4().hex}"
     _SCRATCH.append((spark, path))
     return path
 
@@ -70,6 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a frame from written(), once nothing reads it any more."""
     delete(df.sparkSession, df.scratch_path)
+    _SCRATCH.remove((df.sparkSession, df.scratch_path))
 
 
 @atexit.register
@@ -77,11 +68,12 @@ def _clear() -> None:
     for spark, path in _SCRATCH:
         try:
             delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended
-            return
+        except Exception:  # noqa: BLE001  its session may have ended; others may not have
+            continue
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch sizes, for good: plans read them when they run, which is after a query has been made."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -126,10 +118,6 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterabl
     return df.mapInArrow(run, schema)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
