@@ -6,9 +6,13 @@ the unlabelled loss minus p times the positives' loss as negatives, and where th
 is reversed instead of followed. The prior itself is estimated first, from a plain positive-against-unlabelled fit: the
 least ratio, over thresholds, of the shares of held-back unlabelled and positive rows above it (best bin estimation).
 
-The network sees text statistics only, never labels, language, source or id. Null and empty texts score as texts without
-words. Only doc_id and text are read of documents; duplicate labels of an id count once; without positives every score
-is 0.5. Equal texts get equal scores.
+The network sees text statistics only, never labels, language, source or id.
+
+Defined results: null and empty texts score as texts without words; texts are read whole; equal texts get equal scores;
+every row gets a score, repeated rows and rows without an id too. Of documents only doc_id and text are read, so extra
+columns' names cannot clash. For fitting, an id counts once: as a positive if any of its labels is 1, and with one of its
+texts' statistics (the least, in order) where its rows differ; rows without an id are not fitted on. Without positives every
+score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,12 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     free = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
     order = [F.xxhash64(F.lit(17), "doc_id"), F.col("doc_id")]
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out() & (F.col("quality") == 1)).select("doc_id").distinct().orderBy(*order).limit(sample_rows)
-    unknown = free.orderBy(F.xxhash64(F.lit(18), "doc_id"), "doc_id").limit(sample_rows)
+    # ids below a share of the hash's range, about four times as many as are taken: only these are told apart
+    share = min(1.0, 4 * sample_rows / max(1, docs.count()))
+    low = F.xxhash64(F.lit(18), "doc_id") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    unknown = free.where(low).distinct().orderBy(F.xxhash64(F.lit(18), "doc_id"), "doc_id").limit(sample_rows)
     # both samples are bounded by their parameter, so their ids may be broadcast
     side = known.withColumn("p", F.lit(True)).unionByName(unknown.withColumn("p", F.lit(False)))
     chosen = side.groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("only"))
-    rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    seen = _features(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    # one row for each id, however often it comes: 2 * sample_rows rows at most reach the driver
+    rows = seen.groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "doc_id").collect()
+    rows.sort(key=lambda r: r.doc_id)
     pos = np.array([r.x for r in rows if r.p], dtype=np.float64)
     unl = np.array([r.x for r in rows if not r.only], dtype=np.float64)
     if len(pos) < 4 or len(unl) < 4:
