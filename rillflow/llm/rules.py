@@ -9,8 +9,10 @@ A document is kept if the base rule passes (at least 20 words, and at most 30 %
 occur twice or more) and the trees' score reaches THRESHOLD.
 
 Defined results: null and empty texts have no words and fail the base rule; texts are read whole; equal texts get equal
-results; without labelled documents of both classes every document that passes the base rule is kept. Only doc_id and
-text are read.
+results; every row is judged, repeated rows and rows without an id too; an empty table gives no rows. Without labelled
+documents of both classes every document that passes the base rule is kept. Only doc_id and text are read (all columns, by
+filter_documents(), which keeps them), so extra columns' names cannot clash. For fitting, an id counts once: with the least of
+its labels, and with one of its texts' statistics (the least, in order) where its rows differ.
 """
 
 from __future__ import annotations
@@ -208,13 +210,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees | None:
     """Trees fitted on at most sample_rows labelled documents (those of the smallest id hashes); None without both classes."""
-    fit_on = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    fit_on = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("y"))
     fit_on = fit_on.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     fit_on = fit_on.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample_rows)
     # the sample is bounded by its parameter, so it may be broadcast
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(fit_on.select("doc_id")), "doc_id", "left_semi")).select("doc_id", "stats")
-    got = rows.join(F.broadcast(fit_on), "doc_id").select("doc_id", "y", "stats").collect()
-    got.sort(key=lambda r: (r.doc_id, r.y))
+    # one row for each id, however often it comes: sample_rows rows at most reach the driver
+    got = rows.groupBy("doc_id").agg(F.min("stats").alias("stats")).join(F.broadcast(fit_on), "doc_id").collect()
+    got.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in got], dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return None
