@@ -7,10 +7,10 @@ candidate whose upper bound is below the k-th best lower bound can never be amon
 Each pair of blocks gives its k best of each query, and a final ranking merges them. All of it is exact.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component, and rows with a null id, take no
-part. Vectors are compared with those of equal length. Rows that share the query's id are the query's own and no
-candidates; other repeated ids count row by row. Ties go to the smaller id. Scores outside 64 bits are clamped,
-and ranked as such. No block
-is ever pruned by an approximation, and no row is sent to the driver.
+part; an empty table gives no rows, and other columns are not read. Vectors are compared with those of equal length. Rows
+that share the query's id are the query's own and no candidates; other repeated ids count row by row. Each query row has
+ranks of its own: an id that several query rows share comes with so many lists. Ties go to the smaller id. Scores outside 64
+bits are clamped, and ranked as such. No block is ever pruned by an approximation, and no row is sent to the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import small_batches, table
 
 SCALE, K = 1024, 10
 #: Rows of a block of candidates and of queries, on average, and dimensions scored at a time.
-BLOCK_ROWS, QUERY_ROWS, DIMS = 2048, 1024, 8
+BLOCK_ROWS, QUERY_ROWS, DIMS = 2048, 8192, 8
 #: Products below this are exact in double arithmetic.
 EXACT = float(1 << 52)
 
@@ -60,30 +60,31 @@ def best(q: np.ndarray, columns: np.ndarray, rest_c: np.ndarray, ids: np.ndarray
 
 
 def _block(cands, queries, k: int):
-    """(query_id, vec_id, score) of one pair of blocks; both are (ids, matrix rows x dims)."""
+    """(row, query_id, vec_id, score) of one pair of blocks; candidates are (ids, matrix rows x dims), queries have the numbers
+    of their rows too."""
     c_ids, c = cands
-    q_ids, q = queries
+    q_ids, q, q_rows = queries
     big = np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * c.shape[1] >= EXACT
-    out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    out: tuple[list[int], ...] = ([], [], [], [])
     if big:  # Python's integers: any size, exact
         rows = [[int(x) for x in r] for r in c]
-        for own, vec in zip(q_ids.tolist(), q):
+        for row, own, vec in zip(q_rows.tolist(), q_ids.tolist(), q):
             v = [int(x) for x in vec]
             clamped = lambda r: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, r))))  # noqa: E731, B023
             scored = sorted((-clamped(r), i) for i, r in zip(c_ids.tolist(), rows) if i != own)[:k]
             for s, i in scored:
-                out[0].append(own)
-                out[1].append(i)
-                out[2].append(-s)
+                for x, y in zip(out, (row, own, i, -s)):
+                    x.append(y)
         return out
     columns = np.ascontiguousarray(c.T)
     squares = (columns * columns)[::-1].cumsum(axis=0)[::-1]
     rest_c = [np.sqrt(squares[at]) for at in range(0, c.shape[1], DIMS)]
-    for own, vec in zip(q_ids.tolist(), q):
+    for row, own, vec in zip(q_rows.tolist(), q_ids.tolist(), q):
         at, score = best(vec, columns, rest_c, c_ids, own, k)
-        out[0].extend([own] * len(at))
-        out[1].extend(c_ids[at].tolist())
-        out[2].extend(int(s) for s in score)
+        out[0].extend([row] * len(at))
+        out[1].extend([own] * len(at))
+        out[2].extend(c_ids[at].tolist())
+        out[3].extend(int(s) for s in score)
     return out
 
 
@@ -91,27 +92,27 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     """query_id, rank (from 1), vec_id, score of each query's k best. is_query: a condition on the column ``id``."""
     small_batches(df.sparkSession)
     ship(df.sparkSession)
-    rows = usable(df, id_col, vec_col, scale).withColumn("dim", F.size("v"))
+    # a row's number, which follows from its place in the input, deals it to a block: repeated ids are spread like others
+    rows = usable(df, id_col, vec_col, scale).withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id())
     queries = rows.where(is_query)
-    n, n_q = rows.count(), queries.count()
+    n, n_q = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).head()
     c_blocks, q_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_q // QUERY_ROWS))
-    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    block = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    c = rows.withColumn("cb", block(c_blocks)).withColumn("qb", each(q_blocks))
+    c = rows.withColumn("cb", block(c_blocks)).withColumn("qb", each(q_blocks)).drop("row")
     q = queries.withColumn("qb", block(q_blocks)).withColumn("cb", each(c_blocks))
 
     def pair(cands, asked):
         import pandas as pd
 
         if not len(cands) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        both = [(x["id"].to_numpy(), np.floor(np.stack([np.asarray(v, dtype=np.float64) for v in x["v"]]))) for x in (cands, asked)]
-        got = _block(*both, k)
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]}, dtype="int64")
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        own, other = [(x["id"].to_numpy(), np.floor(np.stack([np.asarray(v, dtype=np.float64) for v in x["v"]]))) for x in (cands, asked)]
+        return pd.DataFrame(dict(zip(("row", "query_id", "vec_id", "score"), _block(own, (*other, asked["row"].to_numpy()), k))), dtype="int64")
 
     keys = ["dim", "cb", "qb"]
-    partial = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score long")
-    ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    partial = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(pair, "row long, query_id long, vec_id long, score long")
+    ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
