@@ -6,12 +6,13 @@ that overlap; each window is decoded by Viterbi, and positions in an overlap fol
 that runs of one tag over window borders are one span. A decoded span is added if it has its kind's outward shape and
 touches no pattern span.
 
-Labelled spans for training: a bounded sample of documents (those of the smallest id hashes), where the patterns' own
+Labelled spans for training: a bounded sample of whole documents (those of the smallest id hashes), where the patterns' own
 matches and generated spans inserted at seeded places are the labels; generated dates, versions, prices and plain numbers
 are inserted without a label.
 
-Defined results: null texts are empty and have no spans; equal texts get equal spans; an empty table gives no rows. Only
-doc_id and text are read. Offsets are code points, ends exclusive.
+Defined results: null texts are empty and have no spans; equal texts get equal spans; every row is read, repeated rows and
+rows without an id too; an empty table gives no rows. Only doc_id and text are read (all columns, by redact(), which keeps
+them), so extra columns' names cannot clash. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the network is trained on, at most, and characters taken from each.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 4000
+#: Documents that the network is trained on, at most, and characters that they have in all: a document that would go beyond
+#: is passed over, so that texts are whole.
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 2_000_000
 HIDDEN, TAGS, ROUNDS = 12, 5, 400
 WINDOW, OVERLAP = 256, 32
 
@@ -272,8 +274,10 @@ def generated(r: random.Random) -> tuple[str, int]:
     if kind == 3:
         return ".".join(str(r.randint(0, 255)) for _ in range(4)), 2
     if kind == 4:
-        sep = r.choice([" ", "-", "", "."])
-        return sep.join(_digits(r, 4) for _ in range(4)), 3
+        sep = r.choice([" ", "-", "", ".", "."])
+        first = _digits(r, 15)
+        digits = next(first + d for d in "0123456789" if luhn(first + d))
+        return sep.join(digits[i : i + 4] for i in range(0, 16, 4)), 3
     if kind < 7:
         return r.choice([f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}", f"+{_digits(r, 2)} {_digits(r, 3)} {_digits(r, 7)}", f"{_digits(r, 3)}.{_digits(r, 3)}.{_digits(r, 4)}", f"0{_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}"]), 4
     return r.choice([f"{r.randint(1900, 2099)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"v{r.randint(0, 9)}.{r.randint(0, 99)}.{r.randint(0, 9)}", f"{r.randint(0, 9999)}.{_digits(r, 2)}", _digits(r, r.randint(1, 6)), f"{_digits(r, 2)}:{_digits(r, 2)}:{_digits(r, 2)}", f"$${_digits(r, 3)}", f"@{word()}", "".join(r.choice("0123456789abcdef") for _ in range(40))]), 0
@@ -314,13 +318,13 @@ def train(texts: list[str], rounds: int = ROUNDS, width: int = 96, steps: int =
 
 def plausible(kind: int, s: str) -> bool:
     """Whether a decoded string has the outward shape of its kind; every form that generated() labels has."""
-    digits = sum(c.isdigit() for c in s)
+    digits = sum(c.isascii() and c.isdigit() for c in s)
     if kind == 0:
         return _MAIL_SHAPE.fullmatch(s) is not None
     if kind == 1:
         return _IP.fullmatch(s) is not None and all(int(p) <= 255 for p in s.split("."))
     if kind == 2:
-        return 13 <= digits <= 19 and len(s) <= digits + 6
+        return 13 <= digits <= 19 and len(s) <= digits + 6 and luhn("".join(c for c in s if c.isascii() and c.isdigit()))
     return 9 <= digits <= 15 and _PHONE_SHAPE.fullmatch(s) is not None
 
 
@@ -379,12 +383,18 @@ def sampled_tagger(docs: DataFrame) -> Tagger:
     """A tagger trained on the driver on a bounded sample of docs; rows without an id are not in it.
 
     The ids are chosen first, so that a task sends ids to the driver, and texts of chosen documents only."""
-    some = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull())
     order = F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")
+    # ids below a share of the hash's range, several times as many as are taken: only these are brought together
+    share = min(1.0, 8 * SAMPLE_DOCS / max(1, docs.count()))
+    some = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull() & (order[0] <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))))
+    ids = some.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(*order).limit(SAMPLE_DOCS).collect()
+    taken, total = [], 0
+    for r in ids:
+        if total + r.n <= SAMPLE_CHARS:
+            taken, total = [*taken, (r.doc_id,)], total + r.n
     # bounded by SAMPLE_DOCS, so it may be broadcast
-    chosen = some.select("doc_id").orderBy(*order).limit(SAMPLE_DOCS).dropDuplicates()
-    texts = some.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = texts.orderBy(*order, "text").limit(SAMPLE_DOCS).collect()
+    chosen = docs.sparkSession.createDataFrame(taken, some.select("doc_id").schema)
+    rows = some.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").orderBy(*order, "text").collect()
     return train([r.text for r in rows])
 
 
