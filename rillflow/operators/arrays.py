@@ -50,20 +50,17 @@ def transposed(xs: Column, rows: int, cols: int, literal: bool = False) -> Colum
     """A row-major rows x cols matrix with rows and columns exchanged (D5, D6); literal: left as it is."""
     if literal:
         return xs
-    order = [r * cols + c for c in range(cols) for r in range(rows)]
-    return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(xs, i))
+    return _rows(xs, lambda x: x.reshape(-1, rows, cols).transpose(0, 2, 1).reshape(len(x), rows * cols))
 
 
 def expand_rows(xs: Column, rows: int, cols: int, to: int) -> Column:
     """A cols x rows matrix transposed, and each of its rows of cols elements padded with zeros to ``to``."""
-    order = [r + c * rows if c < cols else -1 for r in range(rows) for c in range(to)]
-    return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.when(i < 0, F.lit(0.0)).otherwise(F.get(xs, F.greatest(i, F.lit(0)))))
+    return _rows(xs, lambda x: np.pad(x.reshape(-1, cols, rows).transpose(0, 2, 1), ((0, 0), (0, 0), (0, to - cols))).reshape(len(x), rows * to))
 
 
 def contract_rows(xs: Column, rows: int, cols: int, to: int) -> Column:
     """The first ``to`` elements of each row of a rows x cols matrix, transposed to ``to`` x rows."""
-    order = [r * cols + c for c in range(to) for r in range(rows)]
-    return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(xs, i))
+    return _rows(xs, lambda x: x.reshape(-1, rows, cols)[:, :, :to].transpose(0, 2, 1).reshape(len(x), rows * to))
 
 
 def by_rows(columns: list[pa.Array], f: Callable[..., list[np.ndarray]]) -> list[pa.Array]:
