@@ -1,17 +1,19 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut into full windows, which need no packing, and a rest, which is cut into pieces of at most
-``piece`` ids. Pieces are dealt to groups by a hash of the document's id; a group's pieces are partitioned into k windows
-by multiway differencing: partial partitions start as single pieces, the two with the largest spread are merged with
+``piece`` ids. A task packs what it reads: as soon as the pieces that it holds fill GROUP_WINDOWS windows, they are a group
+and are partitioned into k windows by multiway differencing: partial partitions start as single pieces, the two with the largest spread are merged with
 their imbalances opposed (largest sum to smallest sum), until one partition of k near-equal sums is left. k begins at
 the least possible count and rises whenever the fullest window exceeds the capacity.
 
-Groups are bounded: their number follows the number of documents, and a document adds less than one window to its group
-however long it is (its full windows are streamed past). The result depends on the rows alone, so a lost task is redone
-alike.
+Nothing is shuffled, and groups are bounded by counting, whatever ids or texts come how often: a group holds GROUP_WINDOWS
+windows and one document's rest at most, and a document's full windows are streamed past. The last group of a task leaves
+less than one window of padding in all. A sequence is named by its task's partition and its number there, so a lost task is
+redone alike.
 
-Defined results: a null text is empty and packs as its end token alone; equal rows are packed each; an empty table gives
-no rows. Only doc_id and text are read. A null doc_id is dealt as any other value.
+Defined results: a null text is empty and packs as its end token alone; equal rows are packed each, also under one id or a
+null one; long texts are cut into windows; an empty table gives no rows. Only doc_id and text are read, so extra columns'
+names cannot clash. A row is one cell to Spark: a worker holds the ids of one text whole.
 """
 
 from __future__ import annotations
@@ -25,14 +27,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import caches, map_batches, table, tokenizer_path
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 WINDOW, PIECE = 2048, 256
-#: Documents in a group, on average.
-GROUP_DOCS = 512
+#: Windows that a group's pieces fill.
+GROUP_WINDOWS = 256
 #: Encoded words that a worker keeps; beyond it the cache starts anew, which costs time only.
 CACHE = 400_000
 #: Characters whose words are encoded together, and parts of words that one call of the tokenizer takes.
@@ -179,79 +180,80 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (little-endian, 32 bits each)."""
+class _Group:
+    """Packs pieces (rows whose third value is their length): full windows at once, the others when there are enough."""
+
+    def __init__(self, fields: tuple[str, ...], first: int, window: int):
+        self.fields, self.next, self.window = fields, first, window
+        self.held: list[tuple] = []
+        self.tokens = 0
+        self.out: dict[str, list] = {f: [] for f in fields}
+
+    def _place(self, row: tuple, offset: int) -> None:
+        for f, v in zip(self.fields, (*row, self.next, offset)):
+            self.out[f].append(v)
+
+    def add(self, row: tuple) -> None:
+        if row[2] == self.window:
+            self._place(row, 0)
+            self.next += 1
+            return
+        self.held.append(row)
+        self.tokens += row[2]
+
+    def close(self) -> None:
+        for members in windows([r[2] for r in self.held], self.window):
+            offset = 0
+            for i in members:
+                self._place(self.held[i], offset)
+                offset += self.held[i][2]
+            self.next += 1
+        self.held, self.tokens = [], 0
+
+    def take(self) -> dict[str, list]:
+        out, self.out = self.out, {f: [] for f in self.fields}
+        return out
+
+
+def cut(ids: bytes, window: int = WINDOW, piece: int = PIECE):
+    """(start, length) of a document's pieces: full windows, then its rest."""
+    n = len(ids) // 4
+    at = 0
+    while at < n:
+        size = window if n - at >= window else min(piece, n - at)
+        yield at, size
+        at += size
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (little-endian, 32 bits each)
+    of every piece."""
     path = path or tokenizer_path(VOCABULARY)
     end = np.array([END_ID], dtype="<u4").tobytes()
+    fields = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []), "sequence_id", "offset")
+    group_windows = GROUP_WINDOWS
 
     def run(batches):
-        words = loaded(path)
+        from pyspark import TaskContext
+
+        words, group = loaded(path), _Group(fields, TaskContext.get().partitionId() << 32, window)
         for b in batches:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | ({"ids": []} if with_ids else {})
             for doc, ids in zip(b["doc_id"], words.encode_all(b["text"])):
                 ids += end
                 n = len(ids) // 4
-                at = 0
-                while at < n:
-                    size = window if n - at >= window else min(piece, n - at)
+                for at, size in cut(ids, window, piece):
                     part = ids[4 * at : 4 * (at + size)]
-                    for key, v in zip(out, (doc, at, size, zlib.crc32(part), n, part)):
-                        out[key].append(v)
-                    at += size
-            yield out
-
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
-
-
-def pack(cut: DataFrame, n_groups: int, window: int = WINDOW) -> DataFrame:
-    """The pieces with sequence_id and offset."""
-    carried = [c for c in cut.columns if c not in ("doc_id", "start", "length")]
-    names = ["doc_id", "start", "length", *carried]
-    dealt = cut.select(*names, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("group"))
-    ordered = dealt.repartition(n_groups, "group").sortWithinPartitions("group", F.col("length") == window, "doc_id", "start", *(["ids_crc32"] if "ids_crc32" in carried else []))
-
-    def run(batches):
-        group, held, n = None, [], 0
-        fields = (*names, "sequence_id", "offset")
-
-        def close():
-            nonlocal n
-            out = {f: [] for f in fields}
-            for members in windows([r[2] for r in held], window):
-                offset = 0
-                for i in members:
-                    for f, v in zip(fields, (*held[i], (group << 32) + n, offset)):
-                        out[f].append(v)
-                    offset += held[i][2]
-                n += 1
-            held.clear()
-            return out
-
-        for b in batches:
-            full = {f: [] for f in fields}
-            for g, *row in zip(b["group"], *[b[c] for c in names]):
-                if g != group:
-                    if held:
-                        yield close()
-                    group, n = g, 0
-                if row[2] == window:
-                    if held:
-                        yield close()
-                    for f, v in zip(fields, (*row, (group << 32) + n, 0)):
-                        full[f].append(v)
-                    n += 1
-                else:
-                    held.append(row)
-            yield full
-        if held:
-            yield close()
-
-    kinds = dict(cut.dtypes)
-    return map_batches(ordered, run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long")
-
-
-def pack_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    return pack(pieces(docs, path, with_ids=with_ids), max(1, docs.count() // GROUP_DOCS))
+                    group.add((doc, at, size, zlib.crc32(part), n, *([part] if with_ids else [])))
+                if group.tokens >= group_windows * window:
+                    group.close()
+                if len(group.out["doc_id"]) >= 4096:
+                    yield group.take()
+            yield group.take()
+        group.close()
+        yield group.take()
+
+    kinds = {"doc_id": "long", "ids": "binary"}
+    return map_batches(docs.select("doc_id", "text"), run, ", ".join(f"{f} {kinds.get(f, 'long')}" for f in fields))
 
 
 def op7_pack_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
