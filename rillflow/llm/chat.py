@@ -7,9 +7,12 @@ Turns after a conversation's last reply (all turns, if it has none) make one mor
 turn is lost.
 
 Defined results: rows are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own; null
-roles and texts count as empty; rows with a null conv_id make one conversation with that null. Other columns are not
-read. A conversation is streamed turn by turn and is never held as rows; the contexts, whose total is quadratic in the
-number of turns by definition, are made one at a time.
+roles and texts count as empty; rows with a null conv_id make one conversation with that null; an empty table gives no
+rows. Other columns are not read, so their names cannot clash. Whatever its length, a text is written whole.
+
+A conversation is one task's: every example holds all turns before it, so a worker needs the formatted turns, whose total
+is quadratic in their number by definition. It is streamed turn by turn, never held as rows, and contexts are made one at a
+time. Only the turns are shuffled; the examples are not.
 """
 
 from __future__ import annotations
@@ -95,9 +98,11 @@ def examples(conversations: DataFrame) -> DataFrame:
     return map_batches(ordered, run, _SCHEMA)
 
 
-def read_back(made: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted strings and loss masks alone."""
-    ordered = made.repartition(parts(made.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example")
+def read_back(made: DataFrame, in_order: bool = False) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted strings and loss masks alone.
+
+    in_order: a task's rows come by conversation and example already, as examples() makes them, so nothing is moved again."""
+    ordered = made if in_order else made.repartition(parts(made.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example")
 
     def run(batches):
         unset = object()
@@ -138,4 +143,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return read_back(examples(rows.unionByName(own)))
+    return read_back(examples(rows.unionByName(own)), in_order=True)
+
+
+# A turn is 20 characters longer than its escaped role and text; a conversation has one example for each reply, and one more
+# where other turns follow the last reply.
+OP3_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT conv_id, role IS NOT DISTINCT FROM 'assistant' AS reply, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM rows_),
+f AS (SELECT *, 20 + length(r) + length(x) + len(regexp_extract_all(r || chr(10) || x, '\\|</?s>|\[/?INST\]')) AS size FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS done, n = max(n) OVER (PARTITION BY conv_id) AS ends FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (reply), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY n) FILTER (reply), '')) AS loss_sha256,
+  coalesce(sum(done) FILTER (reply OR ends), 0)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
