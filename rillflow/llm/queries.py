@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .bpe import op2_byte_bpe
-from .chat import op3_chat_format
+from .chat import OP3_SQL, op3_chat_format
 from .classifier import op1_quality_pu
 from .neardups import OP4_SQL, op4_near_dedup
 from .pack import op7_pack_kk
@@ -29,4 +29,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_near_dedup": OP4_SQL, "op10_topk_exact": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_near_dedup": OP4_SQL, "op10_topk_exact": OP10_SQL}
