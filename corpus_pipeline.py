@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: five stages over everything the stage before has kept."""
+"""From raw documents to packed sequences: five stages over everything the stage before has kept.
+
+Each stage takes any table with the columns doc_id and text; others are carried through to the last stage but one, whatever
+their names. An empty table gives an empty one, texts are worked on whole, and repeated rows and rows without an id are rows
+like any others until near_duplicates leaves one of each group. Results between stages are Parquet tables in the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,8 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the trees. Null texts have no words and go."""
+    """Documents that pass the base rule and the trees. Null texts have no words and go; without labels of both classes the
+    base rule alone decides."""
     return rules.filter_documents(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -27,12 +33,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs, pii.sampled_tagger(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their place in sequences of at most 2048."""
+    """Pieces of token ids with their place in sequences of at most 2048; an empty text is its end token."""
     return pack.pack_documents(docs, with_ids=True)
 
 
