@@ -100,8 +100,9 @@ def begin(module: str) -> None:
         libc.malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow over dicts of Python lists. fn maps an iterator of input batches to output batches, once in each task."""
+def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str, raw: bool = False) -> DataFrame:
+    """mapInArrow over dicts of Python lists (raw: over Arrow batches). fn maps an iterator of input batches to output batches,
+    dicts of lists or Arrow arrays, once in each task."""
     small_batches(df.sparkSession)
     ship(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -111,7 +112,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterabl
 
     def run(batches):
         begin(module)
-        for out in fn(b.to_pydict() for b in batches):
+        for out in fn(b if raw else b.to_pydict() for b in batches):
             if len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_pydict({f.name: x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in kind}, schema=kind)
 

@@ -10,11 +10,13 @@ differs in more than ERRORS_TOTAL places with a probability of about 8e-6; more
 A second signature of 128 values cut to 8 bits is compared before a pair is proposed: at the threshold it differs in more
 than WIDE_ERRORS places with a probability below 1e-6, while texts that only share a passage differ in more.
 
-Hot keys. Keys of one document are dropped at once. A key with more than CELL_ROWS documents is split into cells of two
-parts each, so that no task holds an unbounded group. Where a cell has many pairs, only those with its first member are
-proposed at first; then the cell is settled in one task that holds its members' full sets: each pair within the distances
-is confirmed or refuted unless the links found before have joined it already. That is complete, and no more than one link
-for each member leaves a cell.
+Hot keys. Keys of one document are dropped at once; a key of up to CELL_ROWS documents is a cell. Where a cell has many
+pairs, only those with its first member are proposed at first; then the cell is settled in one task that holds its members'
+full sets: each pair within the distances is confirmed or refuted unless the links found before have joined it already. A key
+with more documents passes through a task as a stream and is no cell: only its pairs with its first member are proposed.
+Where the links found so far have not joined all its documents into one component, those outside its largest component are
+dealt to cells together with the others, part by part, and these cells are settled too; so a group of near copies costs rows
+in proportion to its size. All that is complete, and no more than one link for each member leaves a cell.
 
 Components come from repeated contraction along random priorities, entirely in Spark.
 
@@ -43,6 +45,11 @@ CELL_ROWS, SMALL = 1024, 8
 WIDE, WIDE_ERRORS = 128, 56
 #: Members of a group that confirms one document's links.
 STAR = 64
+#: Ids of documents to confirm that may be broadcast (8 bytes each), so that only their texts are shuffled, and parts that a
+#: component's members are dealt to when they get its least id.
+BROADCAST_IDS, SALTS = 1_000_000, 16
+#: Hot keys whose first members may be broadcast (about 250 bytes each).
+BROADCAST_KEYS = 50_000
 #: Hashed words that a worker keeps.
 CACHE = 500_000
 
@@ -145,47 +152,80 @@ def _matrices(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(reps: DataFrame) -> DataFrame:
-    """cell, slot, doc: the documents that meet under a key; slot is the key's number."""
+    """cell, slot, doc, hot: the documents that meet under a key; slot is the key's number. Hot: a key of too many for a cell."""
 
     def keyed(batches):
         n = len(key_places())
         for b in batches:
-            size = len(b["doc"])
             yield {
-                "key": pa.array(keys(_matrices(b["sig"])[0]).view(np.int64).ravel()), "slot": pa.array(np.tile(np.arange(n, dtype=np.int32), size)),
-                "doc": pa.array(np.repeat(np.array(b["doc"], dtype=np.int64), n)),
+                "key": pa.array(keys(_matrices(b.column("sig").to_pylist())[0]).view(np.int64).ravel()), "slot": pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)),
+                "doc": pa.array(np.repeat(b.column("doc").to_numpy(), n)),
             }
 
-    rows = map_batches(reps.select("doc", "sig"), keyed, "key long, slot int, doc long")
+    rows = map_batches(reps.select("doc", "sig"), keyed, "key long, slot int, doc long", raw=True)
     ordered = rows.repartition(max(parts(reps.sparkSession), 12), "key").sortWithinPartitions("key", "doc")
+    limit = CELL_ROWS
 
     def met(batches):
-        held = None
+        held, known = None, None  # the rows of a key that has not ended, and a hot key that has not
         for b in _ended(batches):
             if b is not None:
-                now = tuple(np.array(b[k], dtype=np.int64) for k in ("key", "slot", "doc"))
+                now = tuple(b.column(k).to_numpy() for k in ("key", "slot", "doc"))
                 held = now if held is None else tuple(np.concatenate(v) for v in zip(held, now))
             if held is None or not len(held[0]):
                 continue
             key, slot, doc = held
-            change = np.flatnonzero(key[1:] != key[:-1]) + 1
-            to = len(key) if b is None else (int(change[-1]) if len(change) else 0)
-            starts = np.concatenate([[0], change[change < to]]) if to else np.zeros(0, int)
-            size = np.diff(np.append(starts, to)) if to else np.zeros(0, int)
-            of = np.repeat(size, size)
-            plain = np.flatnonzero((of > 1) & (of <= CELL_ROWS))
-            yield {"cell": pa.array(key[plain]), "slot": pa.array(slot[plain].astype(np.int32)), "doc": pa.array(doc[plain])}
-            for at, n in zip(starts[size > CELL_ROWS].tolist(), size[size > CELL_ROWS].tolist()):
-                half = CELL_ROWS // 2
-                ends = range(0, n, half)
-                for i, x in enumerate(ends):
-                    for y in ends[i + 1 :] if len(ends) > 1 else ends:
-                        members = np.concatenate([doc[at + x : at + min(n, x + half)], doc[at + y : at + min(n, y + half)]])
-                        name = _scramble(np.array([key[at] ^ (x * 0x1000003 + y + 1)], dtype=np.int64).view(np.uint64)).view(np.int64)[0]
-                        yield {"cell": [int(name)] * len(members), "slot": [int(slot[at])] * len(members), "doc": pa.array(members)}
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            size = np.diff(np.append(starts, len(key)))
+            size[0] += limit * (known is not None and key[0] == known)
+            of = np.repeat(size, np.diff(np.append(starts, len(key))))
+            # a key that may go on stays, unless it is known to be hot
+            to = len(key) if b is None or size[-1] > limit else int(starts[-1])
+            known = key[-1] if to == len(key) else None
+            out = np.flatnonzero(of[:to] > 1)
+            yield {"cell": pa.array(key[out]), "slot": pa.array(slot[out].astype(np.int32)), "doc": pa.array(doc[out]), "hot": pa.array(of[out] > limit)}
             held = key[to:], slot[to:], doc[to:]
 
-    return map_batches(ordered, met, "cell long, slot int, doc long")
+    return map_batches(ordered, met, "cell long, slot int, doc long, hot boolean", raw=True)
+
+
+def _by_cell(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows joined with what there is for each cell, one row a cell; no cell's rows are one task's."""
+    if cells.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(cells), "cell")
+    salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "_salt"]).drop("_salt")
+
+
+def _stars(hot: DataFrame, sigs: DataFrame) -> DataFrame:
+    """a, b: the pairs of a hot key's first member with the others that are alike."""
+    first = hot.groupBy("cell").agg(F.min("doc").alias("centre"))
+    centres = written(first.join(sigs.select(F.col("doc").alias("centre"), F.col("sig").alias("c_sig")), "centre"), "centres")
+    rows = _by_cell(hot, centres).where("doc <> centre").join(sigs, "doc").select("doc", "slot", "centre", "sig", "c_sig")
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            both = _matrices([*b.column("sig").to_pylist(), *b.column("c_sig").to_pylist()])
+            good = _alike(*both, np.tile(b.column("slot").to_numpy(), 2), np.arange(n), np.arange(n) + n)
+            yield {"a": pa.array(b.column("centre").to_numpy()[good]), "b": pa.array(b.column("doc").to_numpy()[good])}
+
+    return map_batches(rows, run, "a long, b long", raw=True)
+
+
+def _open_parts(hot: DataFrame, comps: DataFrame) -> DataFrame:
+    """cell, slot, doc: cells in which each document of a hot key outside the key's largest component meets every other."""
+    now = hot.join(comps, "doc")
+    sizes = now.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    keys_ = sizes.groupBy("cell").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "comp")).alias("_top")).select("cell", "_all", F.col("_top.comp").alias("_big"), (F.col("_all") - F.col("_top._n")).alias("_others"))
+    rows = _by_cell(now, written(keys_.where("_others > 0"), "open-keys"))
+    half = CELL_ROWS // 2
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc"), F.ceil(F.col(n) / half)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / half) - 1))
+    columns = ["cell", "slot", "doc"]
+    outside = rows.where(F.col("comp") != F.col("_big")).select(*columns, part(1, "_others").alias("i"), each("_all").alias("j"))
+    every = rows.select(*columns, each("_others").alias("i"), part(2, "_all").alias("j"))
+    return outside.unionByName(every).distinct().select(F.xxhash64("cell", "i", "j").alias("cell"), "slot", "doc")
 
 
 def _ended(batches):
@@ -263,9 +303,9 @@ def _in_cells(ordered: DataFrame, columns: list[str], of, schema: str) -> DataFr
         held = None
         for b in _ended(batches):
             if b is not None:
-                now = [np.array(b[k], dtype=np.int64) for k in ("cell", *columns)] + list(_matrices(b["sig"]))
-                if "names" in b:
-                    now.append(np.array([*b["names"], None], dtype=object)[:-1])
+                now = [b.column(k).to_numpy().astype(np.int64) for k in ("cell", *columns)] + list(_matrices(b.column("sig").to_pylist()))
+                if "names" in b.schema.names:
+                    now.append(np.array([*b.column("names").to_pylist(), None], dtype=object)[:-1])
                 held = now if held is None else [np.concatenate(v) for v in zip(held, now)]
             if held is None or not len(held[0]):
                 continue
@@ -275,7 +315,7 @@ def _in_cells(ordered: DataFrame, columns: list[str], of, schema: str) -> DataFr
                 yield of(*(v[:to] for v in held))
                 held = [v[to:] for v in held]
 
-    return map_batches(ordered, run, schema)
+    return map_batches(ordered, run, schema, raw=True)
 
 
 def _candidates(cells: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -297,6 +337,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of documents. Texts without one of these ids (column doc) are left out before they are shuffled where the
+    ids are few enough to be broadcast; else the join that follows leaves them out."""
+    texts = docs.select("doc_id", "text")
+    few = ids.select(F.col("doc").alias("_id")).distinct()
+    if few.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return texts
+    return texts.join(F.broadcast(few), F.col("doc_id") == F.col("_id"), "left_semi")
+
+
 def settle(cells: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: links between members of these cells that lie in different components, enough to join all that are linked."""
 
@@ -305,7 +355,7 @@ def settle(cells: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
             yield {"doc": b["doc_id"], "names": [shingles(t).tobytes() for t in b["text"]]}
 
     wanted = cells.select(F.col("doc").alias("_d")).distinct()
-    names = map_batches(docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("_d"), "left_semi").select("doc_id", "text"), named, "doc long, names binary")
+    names = map_batches(_texts_of(docs, cells).join(wanted.hint("merge"), F.col("doc_id") == F.col("_d"), "left_semi").select("doc_id", "text"), named, "doc long, names binary")
     rows = cells.join(sigs, "doc").join(names, "doc").select("cell", "slot", "doc", "comp", "sig", "names")
     ordered = rows.repartition(max(parts(cells.sparkSession), 12), "cell").sortWithinPartitions("cell", "doc")
 
@@ -340,7 +390,7 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     salted = edges.join(degree, F.col("a") == F.col("_a")).select("a", F.pmod(F.xxhash64("b"), F.col("_stars")).alias("salt"), "b")
     members = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc"))
     needs = members.unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc")).distinct())
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    texts = _texts_of(docs, edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc")))).withColumnRenamed("doc_id", "_doc")
     # always by sorting: the texts' place in the plan does not change with the number of pairs
     rows = needs.join(texts.hint("merge"), F.col("doc") == F.col("_doc")).drop("_doc")
     ordered = rows.repartition(parts(spark), "a", "salt").sortWithinPartitions("a", "salt", "role", "doc")
@@ -386,7 +436,10 @@ def components(edges: DataFrame) -> DataFrame:
     label = steps[0].select(F.col("u").alias("doc"), F.col("to").alias("comp"))
     for step in steps[1:]:
         label = label.join(step, F.col("comp") == F.col("u"), "left").select("doc", F.coalesce("to", "comp").alias("comp"))
-    return written(label, "labels")
+    out = written(label, "labels")
+    for step in steps:
+        drop(step)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -394,23 +447,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(described(docs), "sets")
     real = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = written(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "classes")
-    cells = written(_cells(reps), "cells")
+    met = written(_cells(reps), "cells")
     _free(docs.sparkSession)
     sigs = reps.select("doc", F.col("doc").alias("comp"), "sig")
-    proposed = written(_candidates(cells, sigs), "proposals")
+    hot, cells = met.where("hot").drop("hot"), met.where("NOT hot").drop("hot")
+    some_hot = not hot.isEmpty()
+    found = _candidates(cells, sigs)
+    proposed = written(found.unionByName(_stars(hot, sigs)) if some_hot else found, "proposals")
     links = written(confirm(proposed.where(F.col("b").isNotNull()).distinct(), docs), "links")
     _free(docs.sparkSession)
     label = components(links)
-    open_cells = proposed.where(F.col("b").isNull()).select(F.col("a").alias("cell"))
+    open_cells = cells.join(proposed.where(F.col("b").isNull()).select(F.col("a").alias("cell")), "cell", "left_semi")
+    now = label.select(F.col("doc").alias("_d"), F.col("comp").alias("_c"))
+    sigs = reps.join(now, F.col("doc") == F.col("_d"), "left").select("doc", F.coalesce("_c", "doc").alias("comp"), "sig")
+    if some_hot:
+        open_cells = open_cells.unionByName(_open_parts(hot, sigs.select("doc", "comp")))
+    open_cells = written(open_cells, "open-cells")
     if not open_cells.isEmpty():
-        now = label.select(F.col("doc").alias("_d"), F.col("comp").alias("_c"))
-        sigs = reps.join(now, F.col("doc") == F.col("_d"), "left").select("doc", F.coalesce("_c", "doc").alias("comp"), "sig")
-        more = written(settle(cells.join(open_cells, "cell", "left_semi"), sigs, docs), "settled")
+        more = written(settle(open_cells, sigs, docs), "settled")
         _free(docs.sparkSession)
         label = components(links.unionByName(more))
-    known = reps.join(label.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").select("h1", "h2", "doc", F.coalesce("comp", "doc").alias("comp"))
-    least = known.groupBy("comp").agg(F.min("doc").alias("component"))
-    named = known.join(least, "comp").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component")
+        drop(more)
+    for used in (met, proposed, links, open_cells):
+        drop(used)
+    # each component's least id goes to SALTS parts of its members: no component is one task's
+    least = label.groupBy("comp").agg(F.min("doc").alias("component")).select(F.col("comp").alias("_c"), "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    part = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    label = label.join(least, (F.col("comp") == F.col("_c")) & (part == F.col("_salt"))).select(F.col("doc").alias("_d"), "component")
+    named = reps.join(label, F.col("doc") == F.col("_d"), "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "doc").alias("component"))
     out = sets.join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
