@@ -387,9 +387,9 @@ def _shared(rows: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, b
             yield block, np.packbits(bits).tobytes(), False
 
 
-def _answers(sent: DataFrame, n_parts: int, of) -> DataFrame:
+def _answers(sent: DataFrame, n_buckets: int, of) -> DataFrame:
     """bucket, block, bits, hot: what of() finds in the rows of each bucket, one bucket in memory at a time."""
-    ordered = sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "block")
+    ordered = sent.repartition(min(n_buckets, 3 * parts(sent.sparkSession)), "bucket").sortWithinPartitions("bucket", "block")
 
     def run(batches):
         bucket, held = None, []
