@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import corpus_pipeline
 
@@ -36,3 +38,42 @@ def test_rows_without_an_id(spark):
     rows = [(None, a), (None, b), (None, b), (None, c + " more"), (5, c)]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([(None, a), (None, b), (5, c)], key=str)
+
+
+def test_awkward_table(spark, tmp_path):
+    """Nulls, repeated rows, an empty and a long text, and columns with names of the stages' own, from end to end; what the
+    stages must do to these texts is worked out by hand and by brute force."""
+    from tokenizers import Tokenizer
+
+    from rillflow.llm import pack
+
+    r = random.Random(5)
+    own = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    clean, twice, shared, long = own(60), own(60), own(40), own(30_000)
+    mail = own(30) + " name.of@mail.example.org " + own(30)
+    rows = [(1, clean), (2, twice), (3, twice), (3, twice), (None, own(50)), (4, None), (5, ""), (6, "a few words only"), (7, mail), (8, own(50) + " " + shared + " " + own(50)), (9, own(50) + " " + shared + " " + own(50)), (10, long), (11, "the same eight words once more and again " * 20)]
+    docs = spark.createDataFrame([(i, t, k, "x", b"y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, block long, _row string, data binary")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    columns, now = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    got = {x.doc_id: x.text for x in now.collect()}
+    assert got.keys() == {1, 2, None, 7, 8, 9, 10}
+    assert (got[1], got[2], got[10], got[None]) == (clean, twice, long, rows[4][1])
+    assert got[7] == mail.replace("name.of@mail.example.org", "<email>")
+    for text, other, i in ((rows[9][1], rows[10][1], 8), (rows[10][1], rows[9][1], 9)):
+        again = {other[k : k + 200] for k in range(len(other) - 199)}
+        gone = {k + d for k in range(len(text) - 199) if text[k : k + 200] in again for d in range(200)}
+        assert len(gone) >= len(shared) and got[i] == "".join(c for k, c in enumerate(text) if k not in gone)
+    t = Tokenizer.from_file(pack.tokenizer_path(pack.VOCABULARY))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for i, text in got.items():
+        ids = b"".join(bytes(x.ids) for x in sorted((x for x in packed if x.doc_id == i), key=lambda x: x.start))
+        want = b"".join(k.to_bytes(4, "little") for k in [*t.encode(text, add_special_tokens=False).ids, 1])
+        assert ids == want
+    assert all(zlib.crc32(bytes(x.ids)) == x.ids_crc32 for x in packed)
+    assert not any(re.search("@", x) for x in got.values())
