@@ -61,7 +61,8 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataF
     # a bucket is the share of the hash's range below the row's hash, so buckets are in the hash's order
     share = (F.shiftrightunsigned("_h", 24).cast("double")) / float(1 << 40)
     bucketed = sized.withColumn("_b", F.floor(share * wide))
-    ranked = _ranked(bucketed, ["source"], "_b", ["_h", "_row"], "_rank")
+    # written, as both the counts and the rows of the next order come from it
+    ranked = written(_ranked(bucketed, ["source"], "_b", ["_h", "_row"], "_rank").drop("_b", "_h"), "shard-ranks")
     placed = ranked.withColumn("_f", (F.col("_rank") + 0.5) / F.col("_rows")).withColumn("_g", F.floor(F.col("_f") * F.lit(n_buckets))).withColumn("_all", F.lit(0))
     global_rank = _ranked(placed, ["_all"], "_g", ["_f", "source", "_rank"], "_p")
     shard = F.floor(F.col("_p") * n_shards / F.lit(max(1, total)))
