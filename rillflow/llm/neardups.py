@@ -13,7 +13,7 @@ than WIDE_ERRORS places with a probability below 1e-6, while texts that only sha
 Hot keys. Keys of one document are dropped at once; a key of up to CELL_ROWS documents is a cell. Where a cell has many
 pairs, only those with its first member are proposed at first; then the cell is settled in one task that holds its members'
 full sets: each pair within the distances is confirmed or refuted unless the links found before have joined it already. A key
-with more documents passes through a task as a stream and is no cell: only its pairs with its first member are proposed.
+with more documents passes through a task as a stream and is no cell: only its pairs with CENTRES members are proposed.
 Where the links found so far have not joined all its documents into one component, those outside its largest component are
 dealt to cells together with the others, part by part, and these cells are settled too; so a group of near copies costs rows
 in proportion to its size. All that is complete, and no more than one link for each member leaves a cell.
@@ -48,8 +48,9 @@ STAR = 64
 #: Ids of documents to confirm that may be broadcast (8 bytes each), so that only their texts are shuffled, and parts that a
 #: component's members are dealt to when they get its least id.
 BROADCAST_IDS, SALTS = 1_000_000, 16
-#: Hot keys whose first members may be broadcast (about 250 bytes each).
-BROADCAST_KEYS = 50_000
+#: Members of a hot key that all its others are compared with at first, and hot keys for which these may be broadcast (about
+#: 250 bytes each).
+CENTRES, BROADCAST_KEYS = 8, 20_000
 #: Hashed words that a worker keeps.
 CACHE = 500_000
 
@@ -198,24 +199,31 @@ def _by_cell(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _stars(hot: DataFrame, sigs: DataFrame) -> DataFrame:
-    """a, b: the pairs of a hot key's first member with the others that are alike."""
-    first = hot.groupBy("cell").agg(F.min("doc").alias("centre"))
-    centres = written(first.join(sigs.select(F.col("doc").alias("centre"), F.col("sig").alias("c_sig")), "centre"), "centres")
-    rows = _by_cell(hot, centres).where("doc <> centre").join(sigs, "doc").select("doc", "slot", "centre", "sig", "c_sig")
+    """a, b: the pairs of CENTRES of a hot key's members with its others that are alike, a < b."""
+    chosen = hot.groupBy("cell", F.pmod(F.xxhash64("doc"), F.lit(CENTRES)).alias("part")).agg(F.min("doc").alias("centre"))
+    known = chosen.join(sigs.select(F.col("doc").alias("centre"), F.col("sig").alias("c_sig")), "centre")
+    # CENTRES of a key at most
+    centres = written(known.groupBy("cell").agg(F.collect_list("centre").alias("centres"), F.collect_list("c_sig").alias("c_sigs")), "centres")
+    rows = _by_cell(hot, centres).join(sigs, "doc").select("doc", "slot", "sig", "centres", "c_sigs")
 
     def run(batches):
         for b in batches:
-            n = b.num_rows
-            both = _matrices([*b.column("sig").to_pylist(), *b.column("c_sig").to_pylist()])
-            good = _alike(*both, np.tile(b.column("slot").to_numpy(), 2), np.arange(n), np.arange(n) + n)
-            yield {"a": pa.array(b.column("centre").to_numpy()[good]), "b": pa.array(b.column("doc").to_numpy()[good])}
+            n, lists = b.num_rows, b.column("centres")
+            count = lists.value_lengths().to_numpy()
+            doc, centre = np.repeat(b.column("doc").to_numpy(), count), lists.flatten().to_numpy()
+            sig, wide = _matrices([*b.column("sig").to_pylist(), *b.column("c_sigs").flatten().to_pylist()])
+            slot = b.column("slot").to_numpy()
+            i = np.repeat(np.arange(n), count)
+            good = _alike(sig, wide, np.concatenate([slot, slot[i]]), i, n + np.arange(len(i))) & (doc != centre)
+            yield {"a": pa.array(np.minimum(doc, centre)[good]), "b": pa.array(np.maximum(doc, centre)[good])}
 
     return map_batches(rows, run, "a long, b long", raw=True)
 
 
 def _open_parts(hot: DataFrame, comps: DataFrame) -> DataFrame:
     """cell, slot, doc: cells in which each document of a hot key outside the key's largest component meets every other."""
-    now = hot.join(comps, "doc")
+    # written, as sizes and rows both come from it
+    now = written(hot.join(comps, "doc"), "hot-members")
     sizes = now.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("_n"))
     keys_ = sizes.groupBy("cell").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "comp")).alias("_top")).select("cell", "_all", F.col("_top.comp").alias("_big"), (F.col("_all") - F.col("_top._n")).alias("_others"))
     rows = _by_cell(now, written(keys_.where("_others > 0"), "open-keys"))
@@ -356,7 +364,7 @@ def settle(cells: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
 
     wanted = cells.select(F.col("doc").alias("_d")).distinct()
     names = map_batches(_texts_of(docs, cells).join(wanted.hint("merge"), F.col("doc_id") == F.col("_d"), "left_semi").select("doc_id", "text"), named, "doc long, names binary")
-    rows = cells.join(sigs, "doc").join(names, "doc").select("cell", "slot", "doc", "comp", "sig", "names")
+    rows = cells.join(names.join(sigs, "doc"), "doc").select("cell", "slot", "doc", "comp", "sig", "names")
     ordered = rows.repartition(max(parts(cells.sparkSession), 12), "cell").sortWithinPartitions("cell", "doc")
 
     def of(cell, doc, comp, slot, sig, wide, names):
@@ -459,7 +467,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links)
     open_cells = cells.join(proposed.where(F.col("b").isNull()).select(F.col("a").alias("cell")), "cell", "left_semi")
     now = label.select(F.col("doc").alias("_d"), F.col("comp").alias("_c"))
-    sigs = reps.join(now, F.col("doc") == F.col("_d"), "left").select("doc", F.coalesce("_c", "doc").alias("comp"), "sig")
+    sigs = written(reps.join(now, F.col("doc") == F.col("_d"), "left").select("doc", F.coalesce("_c", "doc").alias("comp"), "sig"), "labelled")
     if some_hot:
         open_cells = open_cells.unionByName(_open_parts(hot, sigs.select("doc", "comp")))
     open_cells = written(open_cells, "open-cells")
@@ -468,7 +476,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _free(docs.sparkSession)
         label = components(links.unionByName(more))
         drop(more)
-    for used in (met, proposed, links, open_cells):
+    for used in (met, proposed, links, sigs, open_cells):
         drop(used)
     # each component's least id goes to SALTS parts of its members: no component is one task's
     least = label.groupBy("comp").agg(F.min("doc").alias("component")).select(F.col("comp").alias("_c"), "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
